@@ -1,0 +1,6 @@
+"""Every relational, graph and text operator bound to the driver's tables, with its SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict = {}
