@@ -20,7 +20,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def importable(spark: SparkSession) -> None:
-    """Puts the folder that holds the package on the Python path of local workers."""
+    """Puts the folder that holds the package on the Python path of local workers.
+
+    Where the session has the default of 10,000 rows for an Arrow batch, that becomes 2,000: texts are long, and a worker
+    holds a batch several times over.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")

@@ -40,9 +40,9 @@ N = 3  #: words of an n-gram
 THRESHOLD = 0.7  #: least similarity
 BUCKETS = 1 << 20  #: counters for the order of columns
 PIECES = 64  #: rows that carry the counters of a partition
-COLUMNS_PER_BLOCK = 16_000_000  #: entries of A for each block of columns
+COLUMNS_PER_BLOCK = 8_000_000  #: entries of A for each block of columns
 BLOCK_ROWS = 128  #: rows in a block while pairs are checked
-PAIRS_AT_ONCE = 4_000_000  #: of one block held in memory before they are added up
+PAIRS_AT_ONCE = 2_000_000  #: of one block held in memory before they are added up
 
 
 @lru_cache(1)
