@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import codes, documents_by_id, importable, letters_or_digits, mix, settle
+from .common import codes, documents_by_id, fresh, importable, letters_or_digits, mix, settle
 
 N = 3  #: words of an n-gram
 THRESHOLD = 0.7  #: least similarity
@@ -352,23 +352,20 @@ def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD)
     """docs with one document, that of the smallest doc_id, of each group that similar pairs connect.
 
     All columns stay. Rows without a doc_id or without words stay; rows that repeat a kept doc_id become one
-    (the smallest row text).
+    (that of the smallest text, then of the smallest hash of its columns).
     """
     importable(docs.sparkSession)
     sets, pairs = set_pairs(docs, n, threshold)
-    dropped = settle(groups(sets, pairs).where("first <> doc_id").select(F.col("doc_id").alias("gone_id")))
-    ids = docs.select(F.col("doc_id").cast("long").alias("again_id")).where("again_id IS NOT NULL")
-    repeated = ids.groupBy("again_id").count().where("count > 1").select("again_id")
-    kept = docs.join(dropped, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    gone, repeats, rank = fresh(docs, "gone_id"), fresh(docs, "again_id"), fresh(docs, "rank_of_row")
+    dropped = settle(groups(sets, pairs).where("first <> doc_id").select(F.col("doc_id").alias(gone)))
+    own = F.col("doc_id").cast("long")
+    kept = docs.join(dropped, own == F.col(gone), "left_anti")
+    repeated = docs.select(own.alias(repeats)).where(F.col(repeats).isNotNull()).groupBy(repeats).count().where("count > 1").select(repeats)
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, F.col("doc_id").cast("long") == F.col("again_id"), "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    from .common import fresh
-
-    rank = fresh(docs, "rank_of_row")
-    again = kept.join(repeated, F.col("doc_id").cast("long") == F.col("again_id"), "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
-    return once.unionByName(again)
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]))
+    again = kept.join(repeated, own == F.col(repeats), "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
+    return kept.join(repeated, own == F.col(repeats), "left_anti").unionByName(again)
 
 
 ORACLE = f"""
