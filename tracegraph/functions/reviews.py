@@ -129,7 +129,7 @@ def show_distribution(counts: dict[str, int]) -> str:
 SUB_ID = r"(AC-\d+[a-z]?|EC-\d+|PC-?\d+|T-\d+)"
 SUB_HEADING = re.compile(rf"#{{2,6}}\s+\*{{0,2}}{SUB_ID}\*{{0,2}}\s*[:—–-]?\s*(.*)$")
 SUB_ROW = re.compile(rf"\|\s*\*{{0,2}}{SUB_ID}\*{{0,2}}\s*(\|.+)$")
-TARGETS = {"bc": re.compile(rf"{md.ID}(?!-[A-Za-z])"), "vp": re.compile(r"VP-\d+"), "adr": re.compile(r"ADR-\d+"), "fr": re.compile(r"FR-[\w.\-]+", re.A)}
+TARGETS = {"bc": re.compile(rf"{md.ID}(?!\d|-[A-Za-z])"), "vp": re.compile(r"VP-\d+"), "adr": re.compile(r"ADR-\d+"), "fr": re.compile(r"FR-[\w.\-]+", re.A)}
 CLAUSE = re.compile(r"\b(precondition|postcondition|invariant|inv|ec|pc)\s*-?\s*(\d+)", re.I)
 GAP = re.compile(r"\[process-gap\]|\b(?:candidate|uncontracted|proposed|would need|does not exist|no existing)\b", re.I)
 
