@@ -32,7 +32,7 @@ def truncated(text: Column, n: int) -> Column:
 
 
 def normal_cell(text: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1"), r"\*\*|~~|`", "")
+    bare = F.regexp_replace(F.regexp_replace(text, r"\[([^\[\]]*)\]\([^()]*\)", "$1"), r"\*\*|~~|`", "")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 

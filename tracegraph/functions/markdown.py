@@ -9,9 +9,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-NULLS = {"", "null", "none", "None", "[]"}
+NULLS = {"[]", "None", "none", "null", ""}
 FENCE = re.compile(r"\s*(?:`{3}|~{3})")
-BLOCK = re.compile(r"---[ \t]*\r?\n(?P<block>.*?)\r?\n---[ \t]*\r?\n", re.S)
+BLOCK = re.compile(r"-{3}[^\S\n]*\n(?P<block>.*?)\n-{3}[^\S\n]*\n", re.S)
 ID = r"BC-\d+(?:\.\d+){2}"  #: contract ids
 
 
@@ -79,7 +79,7 @@ def frontmatter(text: str) -> Frontmatter:
             lines[-1] += " " + raw.strip()
         else:
             lines.append(raw)
-        starts = wrapping or re.match(r"[^\s#:][^:]*:\s*\[", raw)
+        starts = wrapping or re.match(r"[^\s#:][^:\n]*:[ \t]*\[", raw)
         wrapping = bool(starts) and _open_brackets(lines[-1])
     key = ""
     for raw in lines:
@@ -97,7 +97,7 @@ def frontmatter(text: str) -> Frontmatter:
         name, _, v = raw.partition(":")
         key, v = name.strip(), v.strip()
         if v[:1] == "[":
-            v = re.sub(r"\s+#.*$", "", v).strip() if "#" in v else v
+            v = re.split(r"\s+#", v, maxsplit=1)[0].strip()
             if v[-1] == "]":
                 found.values[key] = [x for x in (p.strip().strip("\"'") for p in v[1:-1].split(",")) if x]
                 continue
@@ -122,7 +122,7 @@ def sections(body: str) -> list[tuple[int, int, str, str]]:
     for line in re.findall(r"[^\n]*\n|[^\n]+$", body):
         if FENCE.match(line):
             inside = not inside
-        elif not inside and (m := re.match(r"(#{2,6})\s+(.*)$", line.rstrip("\r\n"))):
+        elif not inside and (m := re.match(r"(#{2,6})[ \t]+(.*)$", line.rstrip("\r\n"))):
             out.append([len(m[1]), m[2].strip(), ""])
         if not out:
             out.append([0, "", ""])
@@ -188,7 +188,7 @@ def cell(row: list[str], k: int) -> str:
 
 def normal_cell(s: str) -> str:
     """Without links, emphasis, strikes and code marks; white space collapsed."""
-    s = re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", s)
+    s = re.sub(r"\[([^\[\]]*)\]\([^()]*\)", r"\1", s)
     return " ".join(re.sub(r"\*\*|~~|`", "", s).split())
 
 
@@ -199,13 +199,13 @@ def struck(s: str) -> bool:
 def without_id(title: str) -> str:
     """A title without the id in front of it."""
     kinds = r"(?:Behavioral Contract|Verification Property|Story)\s+"
-    ids = rf"(?:{ID}|VP-\d+|S-\d+\.\d+[\w.-]*|E-\d+)"
+    ids = rf"(?:{ID}|(?:VP|E)-\d+|S-\d+[.]\d+[\w.-]*)"
     return re.sub(rf"^\s*(?:{kinds})?{ids}\s*[:—-]\s*", "", title, flags=re.A).strip()
 
 
 def annotation(s: str) -> tuple[str, str]:
     """(value, what follows it in brackets)."""
-    m = re.match(r"([^\[(]+?)\s*[\[(].*[\])]\s*$", s)
+    m = re.match(r"([^(\[]+?)[ \t]*[(\[].*[)\]][ \t]*$", s)
     return (m[1].strip(), s[m.end(1) :].strip()) if m else (s, "")
 
 
@@ -229,11 +229,11 @@ def split_list(s: str) -> list[str]:
 
 def bracket_list(s: str) -> tuple[list[str], str] | None:
     """(members, what follows) of a list in brackets."""
-    m = re.match(r"\[([^\]]*)\]\s*(.*)$", normal_cell(s))
+    m = re.match(r"\[([^\[\]]*)\]\s*(.*)$", normal_cell(s))
     return (split_list(m[1]), m[2].strip()) if m else None
 
 
-REFERENCE = re.compile(rf"{ID}|(?:VP|SS|DI|E|CAP)-\d+|S-\d+\.\d+[A-Za-z0-9.-]*")
+REFERENCE = re.compile(rf"{ID}|(?:VP|SS|DI|E|CAP)-\d+|S-\d+[.]\d+[\w.-]*", re.A)
 
 
 def ids_in(members: list[str]) -> list[str]:
@@ -246,7 +246,7 @@ def not_ids_in(members: list[str]) -> list[str]:
 
 def plain_id_list(s: str) -> list[str] | None:
     """Members of a list without brackets, if all of them are ids; a last parenthesis is left out."""
-    members = split_list(re.sub(r"\s*\([^()]*\)\s*$", "", normal_cell(s)))
+    members = split_list(re.sub(r"\s*[(][^()]*[)]\s*$", "", normal_cell(s)))
     return members if members and not not_ids_in(members) else None
 
 
@@ -318,7 +318,7 @@ def split_ledger(v: str) -> list[tuple[int, str, str, str]]:
     """(ord, entry, version, date); entries joined by the separator are the value again."""
     out = []
     for k, entry in enumerate(v.split(PRIOR)):
-        m = re.match(r"\s*(\d{4}-\d\d-\d\d)?\s*(?:\(\s*(v[\d.]+[^)\s]*)\s*\))?", entry)
+        m = re.match(r"\s*(\d{4}-\d\d-\d\d)?\s*(?:[(]\s*(v[.\d]+[^\s)]*)\s*[)])?", entry)
         out.append((k, entry, m[2] or "", m[1] or ""))
     return out
 

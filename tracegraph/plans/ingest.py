@@ -22,12 +22,13 @@ from ..session import importable, settle
 BC, SS = md.ID, r"SS-\d+"
 KINDS = {"bc": ("specs/behavioral-contracts/", rf"(?i)^({BC})"), "vp": ("specs/verification-properties/", r"(?i)^(VP-\d+)"), "story": ("stories/", r"(?i)^(S-[\d.]+)")}
 INDEX, ARCH, PRD = "specs/behavioral-contracts/BC-INDEX.md", "specs/architecture/ARCH-INDEX.md", "specs/prd.md"
-NFR_CATALOG = "phase-0-ingestion/pass-4-nfr-catalog.md"
-UNIVERSES = {"cap": (["specs/domain-spec/capabilities.md"], r"CAP-\d+"), "di": (["specs/domain-spec/invariants.md"], r"DI-\d+"), "fr": ([PRD], r"FR-\d+"), "nfr": ([NFR_CATALOG, PRD], r"NFR-[A-Z]+-\d+")}
+NFR_CATALOG = "/".join(["phase-0-ingestion", "pass-4-nfr-catalog.md"])
+NFR = r"NFR-[A-Z]+-[0-9]+"
+UNIVERSES = {"cap": (["specs/domain-spec/capabilities.md"], r"CAP-\d+"), "di": (["specs/domain-spec/invariants.md"], r"DI-\d+"), "fr": ([PRD], r"FR-\d+"), "nfr": ([NFR_CATALOG, PRD], NFR)}
 #: edge table -> (owner kind, frontmatter key, id pattern, target table, column of the target)
 EDGES = {
-    "VP.bcs": ("vp_bc", "vp", "bcs", BC, "bc"), "VP.source_bc": ("vp_bc", "vp", "source_bc", BC, "bc"), "VP.domain_invariants": ("vp_di", "vp", "domain_invariants", r"DI-\d+", "di"), "VP.nfrs": ("vp_nfr", "vp", "nfrs", r"NFR-[A-Z]+-\d+", "nfr"),
-    "story.behavioral_contracts": ("story_bc", "story", "behavioral_contracts", BC, "bc"), "story.verification_properties": ("story_vp", "story", "verification_properties", r"VP-\d+", "vp"), "story.functional_requirements": ("story_fr", "story", "functional_requirements", r"FR-[A-Z0-9-]*\d+", "fr"), "story.subsystems": ("story_subsystem", "story", "subsystems", SS, "subsystem"),
+    "VP.bcs": ("vp_bc", "vp", "bcs", BC, "bc"), "VP.source_bc": ("vp_bc", "vp", "source_bc", BC, "bc"), "VP.domain_invariants": ("vp_di", "vp", "domain_invariants", r"DI-\d+", "di"), "VP.nfrs": ("vp_nfr", "vp", "nfrs", NFR, "nfr"),
+    "story.behavioral_contracts": ("story_bc", "story", "behavioral_contracts", BC, "bc"), "story.verification_properties": ("story_vp", "story", "verification_properties", r"VP-\d+", "vp"), "story.functional_requirements": ("story_fr", "story", "functional_requirements", r"FR-[-A-Z0-9]*\d+", "fr"), "story.subsystems": ("story_subsystem", "story", "subsystems", SS, "subsystem"),
     "story.depends_on": ("story_dep", "story", "depends_on", r"S-[\d.]+", "story"), "story.blocks": ("story_dep", "story", "blocks", r"S-[\d.]+", "story"),
 }
 
@@ -94,7 +95,7 @@ def lines(docs: DataFrame, column: str = "text") -> DataFrame:
 def declared(docs: DataFrame, paths: list[str], pattern: str) -> DataFrame:
     """(id, name) that headings, bold text or table rows of documents declare; the first in order of paths and lines wins."""
     own = lines(docs.where(F.col("path").isin(paths))).withColumn("line", F.trim("line"))
-    shapes = [rf"^#+\s+({pattern})[:\s—-]*(.*)$", rf"^\*\*({pattern})\s*[—:-]*\s*(.*?)\*\*", rf"^\|\s*\*{{0,2}}({pattern})\*{{0,2}}\s*\|(.*)$"]
+    shapes = [rf"^#+\s+({pattern})[:\s—-]*(.*)$", rf"^[*]{{2}}({pattern})\s*[—:-]*\s*(.*?)[*]{{2}}", rf"^[|]\s*[*]*({pattern})[*]*\s*[|](.*)$"]
     pick = lambda g: F.coalesce(*[F.when(F.col("line").rlike(s), F.regexp_extract("line", s, g)) for s in shapes])
     order = F.array_position(F.array(*[F.lit(p) for p in paths]), F.col("path"))
     found = own.select(pick(1).alias("id"), F.substring(F.trim(F.split_part(pick(2), F.lit("|"), F.lit(1))), 1, 400).alias("name"), order.alias("source"), "n").where("id IS NOT NULL")
@@ -103,8 +104,8 @@ def declared(docs: DataFrame, paths: list[str], pattern: str) -> DataFrame:
 
 def subsystems(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((id, bc_prefix, name), findings) from the architecture index, then folder names, then what contracts claim."""
-    row = r"\|\s*(SS-\d+)\s*\|\s*([^|]+?)\s*\|\s*BC-(\d+)\s*\|"
-    index = lines(docs.where(F.col("path") == ARCH)).where(F.col("line").rlike(row)).select(F.regexp_extract("line", row, 1).alias("id"), F.regexp_extract("line", row, 3).cast("int").alias("bc_prefix"), F.regexp_extract("line", row, 2).alias("name"), F.lit(1).alias("source"), "n")
+    row = r"[|]\s*(SS-\d+)\s*[|]([^|]+)[|]\s*BC-(\d+)\s*[|]"
+    index = lines(docs.where(F.col("path") == ARCH)).where(F.col("line").rlike(row)).select(F.regexp_extract("line", row, 1).alias("id"), F.regexp_extract("line", row, 3).cast("int").alias("bc_prefix"), F.trim(F.regexp_extract("line", row, 2)).alias("name"), F.lit(1).alias("source"), "n")
     number = F.regexp_extract("path", r"/ss-(\d+)[^/]*/", 1).try_cast("int")
     folder = docs.where(F.col("path").startswith(KINDS["bc"][0])).select(number.alias("bc_prefix")).where("bc_prefix IS NOT NULL").distinct().select(F.format_string("SS-%02d", "bc_prefix").alias("id"), "bc_prefix", F.format_string("SS-%02d", "bc_prefix").alias("name"), F.lit(2).alias("source"), F.lit(0).alias("n"))
     claim = typed(docs, "bc").select(F.trim(F.coalesce(empty_as_null(one("subsystem")), one("ss"))).alias("id")).where(F.col("id").rlike(rf"^{SS}$")).distinct()
@@ -128,7 +129,7 @@ def claims(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     index = docs.where(F.col("path") == INDEX)
     stated = index.select(F.lit("BC-INDEX frontmatter").alias("source"), F.lit("bc_total").alias("kind"), F.lit("").alias("subject"), one("total_bcs").alias("v"), F.lit(-1).alias("n")).where("v <> ''")
     own = lines(index, "body").withColumn("line", F.trim("line"))
-    shapes = [("BC-INDEX Total row", "bc_total", r"^\|\s*\**Total\**\s*\|[^|]*\|\s*\**([\d,]+)", None), ("BC-INDEX subsystem row", "bc_count_ss", r"^\|\s*SS-\d+[^|]*\|\s*BC-\d+\s*\|\s*([\d,]+)", r"^\|\s*(SS-\d+)"), ("BC-INDEX section heading", "bc_count_ss", r"^#+\s+SS-\d+\b.*?—\s*([\d,]+)\s+BCs", r"(SS-\d+)")]
+    shapes = [("BC-INDEX Total row", "bc_total", r"^[|]\s*[*]*Total[*]*\s*[|][^|]*[|]\s*[*]*([\d,]+)", None), ("BC-INDEX subsystem row", "bc_count_ss", r"^[|]\s*SS-\d+[^|]*[|]\s*BC-\d+\s*[|]\s*([\d,]+)", r"^\|\s*(SS-\d+)"), ("BC-INDEX section heading", "bc_count_ss", r"^#+\s+SS-\d+\b.*?—\s*([\d,]+)\s+BCs", r"(SS-\d+)")]
     parts = [stated]
     for source, kind, value, subject in shapes:
         parts.append(own.where(F.col("line").rlike(value)).select(F.lit(source).alias("source"), F.lit(kind).alias("kind"), (F.regexp_extract("line", subject, 1) if subject else F.lit("")).alias("subject"), F.regexp_extract("line", value, 1).alias("v"), "n"))
@@ -150,10 +151,10 @@ def prose(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     so a document is sent only the names it needs, not the names of the whole corpus."""
     own = docs.where(one("document_type") != "").select("path", one("document_type").alias("kind"), F.upper(F.regexp_replace("base", r"\.md$", "")).alias("name"), one("version").alias("version"), "body")
     versions = own.where(F.col("version").rlike(r"^\d+\.\d+$")).groupBy("name").agg(F.max("version").alias("version"))
-    short = F.regexp_extract("name", r"^((?:ADR|BC|VP|N?FR|DI|CAP|TD|S|E)-\d+(?:\.\d+){0,2})(?:-|$)", 1)
+    short = F.regexp_extract("name", r"^((?:S|E|TD|CAP|DI|N?FR|VP|BC|ADR)-\d+(?:[.]\d+){0,2})(?:$|-)", 1)
     keys = own.select("path", "body", F.explode(F.array_distinct(F.array(short, F.col("name")))).alias("name")).where("name <> ''")
     single = keys.groupBy("name").agg(F.count_distinct("path").alias("owners"), F.min("path").alias("path")).where("owners = 1").select("name", "path")  # a key of two documents names neither
-    mentioned = own.select("path", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("body", F.lit(r"([A-Za-z][A-Za-z0-9._-]*)"), F.lit(1)), lambda w: F.upper(F.regexp_replace(w, r"\.md$", ""))))).alias("name"))
+    mentioned = own.select("path", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("body", F.lit(r"([A-Za-z][\w.-]*)"), F.lit(1)), lambda w: F.upper(F.regexp_replace(w, r"\.md$", ""))))).alias("name"))
     asked = mentioned.join(single.withColumnRenamed("path", "owner"), "name").join(own.select(F.col("path").alias("owner"), F.col("body").alias("owner_body")), "owner")
     known = asked.groupBy("path").agg(F.collect_list(F.struct("name", "owner_body")).alias("owners"))
     cited = mentioned.join(versions, "name").groupBy("path").agg(F.collect_list(F.struct("name", "version")).alias("versions"))

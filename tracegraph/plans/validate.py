@@ -10,11 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import markdown as md
 from ..operators import findings as fd
 from ..operators import integrity
 
 Tables = dict[str, DataFrame]
-SHAPES = {"bc": r"^BC-\d+\.\d+\.\d+$", "vp": r"^VP-\d+$", "story": r"^S-\d+\.\d+$", "subsystem": r"^SS-\d+$"}
+SHAPES = {"bc": rf"^{md.ID}$", "vp": r"^VP-\d+$", "story": r"^S-\d+\.\d+$", "subsystem": r"^SS-\d+$"}
 PARENTS = {"vp_bc": ("vp", "bc"), "vp_di": ("vp", "di"), "vp_nfr": ("vp", "nfr"), "vp_subsystem": ("vp", "subsystem"), "story_bc": ("story", "bc"), "story_vp": ("story", "vp"), "story_fr": ("story", "fr"), "story_subsystem": ("story", "subsystem"), "story_dep": ("story", "story")}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -36,7 +37,7 @@ def settle(df):
 
 def importable(spark: SparkSession) -> None:
     """Puts the folder that holds the package on the Python path of workers on this machine; clusters install it."""
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root = str(Path(__file__).resolve().parents[1])
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):

@@ -95,7 +95,7 @@ def level(t: Tables):
 @query("txt19_distribution", "SELECT p_partkey, CAST(p_size AS BIGINT) AS high, CAST(p_partkey % 9 AS BIGINT) AS low FROM part")
 def distribution(t: Tables):
     raw = F.concat(F.col("p_size").cast("string"), F.lit("H/"), (F.col("p_partkey") % 9).cast("string"), F.lit(" low"))
-    counts = F.transform(F.regexp_extract_all(raw, F.lit(r"(\d+)\s*([A-Za-z]+)"), F.lit(0)), lambda x: F.struct(columns.level(F.regexp_extract(x, "([A-Za-z]+)", 1)).alias("level"), F.regexp_extract(x, r"(\d+)", 1).cast("long").alias("n")))
+    counts = F.transform(F.regexp_extract_all(raw, F.lit(r"(\d+)[ \t]*([a-zA-Z]+)"), F.lit(0)), lambda x: F.struct(columns.level(F.regexp_extract(x, "([A-Za-z]+)", 1)).alias("level"), F.regexp_extract(x, r"(\d+)", 1).cast("long").alias("n")))
     of = lambda k: F.aggregate(F.filter(counts, lambda s: s["level"] == k), F.lit(0).cast("long"), lambda a, s: a + s["n"])
     return t.part.select("p_partkey", of("HIGH").alias("high"), of("LOW").alias("low"))
 
