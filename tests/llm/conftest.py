@@ -1,4 +1,4 @@
+import os
 import sys
-from pathlib import Path
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
+sys.path[:0] = [os.path.dirname(__file__)]
