@@ -17,7 +17,14 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data folder; workers can import this package afterwards."""
     importable(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A scan of at least as many partitions as there are cores: of a small file, which would keep one core busy, the columns in use are
+    shuffled; a large table has more partitions than that and is left alone."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 def importable(spark: SparkSession) -> None:
