@@ -245,6 +245,17 @@ def test_groups_keep_the_smallest(spark):
     assert kept == {k for k, v in first.items() if k == v} and len(kept) < len(rows)
 
 
+def test_edited_short_copies_go(spark):
+    words = [f"word{k}" for k in range(40)]
+    edited = [f"other{k}" if k in (8, 20, 32) else w for k, w in enumerate(words)]
+    led = [f"lead{k}" for k in range(20)] + words
+    apart = [f"other{k}" if k % 6 == 3 else w for k, w in enumerate(words)]
+    rows = [cases.row(k, " ".join(w)) for k, w in enumerate([words, edited, led, apart])]
+    a, b, c, d = (brute_sets(r[1]) for r in rows)
+    assert 0.5 < len(a & b) / len(a | b) < 0.7 and 0.5 < len(a & c) / len(a | c) < 0.7 and len(a & d) / len(a | d) < 0.5
+    assert {r["doc_id"] for r in ngram_join.drop_near_copies(cases.documents(spark, rows)).collect()} == {0, 3}
+
+
 # 5: HTML
 
 

@@ -37,10 +37,11 @@ from pyspark.sql import functions as F
 from .common import codes, documents_by_id, fresh, importable, letters_or_digits, mix, settle
 
 N = 3  #: words of an n-gram
-THRESHOLD = 0.7  #: least similarity
+THRESHOLD = 0.7  #: least similarity of a pair that is reported
+NEAR_COPY = 0.5  #: least similarity of near copies, of which one stays: a changed word costs three trigrams, so an edited copy of a short text is well under 0.7
 BUCKETS = 1 << 20  #: counters for the order of columns
 PIECES = 64  #: rows that carry the counters of a partition
-COLUMNS_PER_BLOCK = 8_000_000  #: entries of A for each block of columns
+COLUMNS_PER_BLOCK = 8_000_000  #: entries of A for each block of columns, at THRESHOLD
 BLOCK_ROWS = 128  #: rows in a block while pairs are checked
 PAIRS_AT_ONCE = 2_000_000  #: of one block held in memory before they are added up
 
@@ -292,7 +293,8 @@ def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tupl
     total = sets.agg(F.sum("n")).first()[0] or 0
     counters = surveyed.where("piece >= 0").groupBy("piece").applyInPandas(_added, "piece int, data binary").orderBy("piece").collect()
     order = spark.sparkContext.broadcast(b"".join(bytes(x["data"]) for x in counters))
-    blocks = max(1, math.ceil(total / COLUMNS_PER_BLOCK))
+    wider = max(1.0, (1 - t) / (1 - THRESHOLD))  # a row keeps so many times the columns, and a block's pairs grow with the square of that
+    blocks = max(1, math.ceil(total * wider**2 / COLUMNS_PER_BLOCK))
     entries = own.mapInPandas(_entries(n, t, blocks, order), "block int, signatures binary, sizes binary, columns binary, rows binary")
     common = entries.groupBy("block").applyInPandas(_product(t), "sig_a long, sig_b long, n_a int, n_b int, common long")
     needed = F.ceil(F.lit(t / (1 + t)) * (F.col("n_a") + F.col("n_b")) - 1e-6)
@@ -348,7 +350,7 @@ def groups(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return sets.join(label.withColumnRenamed("u", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("first"))
 
 
-def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = NEAR_COPY) -> DataFrame:
     """docs with one document, that of the smallest doc_id, of each group that similar pairs connect.
 
     All columns stay. Rows without a doc_id or without words stay; rows that repeat a kept doc_id become one
