@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from tracegraph import workloads
 from tracegraph.graph import kernels, project, traverse
 
 G = kernels.Csr
@@ -47,6 +48,73 @@ def test_betweenness_and_communities():
     assert c.tolist() == kernels.communities(two).tolist() and len(set(c[:4])) == len(set(c[4:])) == 1 and c[0] != c[7]
 
 
+def plain_betweenness(edges):
+    """By distances and numbers of shortest paths between all nodes."""
+    nodes = sorted({x for e in edges for x in e})
+    dist, ways = {}, {}
+    for s in nodes:
+        dist[s, s], ways[s, s], level, d = 0, 1, {s}, 0
+        while level:
+            d, after = d + 1, {}
+            for a, b in edges:
+                if a in level and (s, b) not in dist:
+                    after[b] = after.get(b, 0) + ways[s, a]
+            for b, n in after.items():
+                dist[s, b], ways[s, b] = d, n
+            level = set(after)
+    far = lambda a, b: dist.get((a, b), 10**9)
+    return {v: sum(ways[s, v] * ways[v, t] / ways[s, t] for s in nodes for t in nodes if len({s, v, t}) == 3 and (s, t) in dist and far(s, v) + far(v, t) == dist[s, t]) for v in nodes}
+
+
+def test_whole_lineitem_against_loops(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(int(p), int(s), str(f), float(q), float(d)) for p, s, f, q, d in zip(r.integers(1, 150, 260), r.integers(1, 25, 260), r.choice(list("RNA"), 260), r.integers(1, 50, 260), r.choice([0.0, 0.05], 260))]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_returnflag string, l_quantity double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    edges = {(f"supplier:{s}", f"part:{p}") if f == "R" else (f"part:{p}", f"supplier:{s}") for p, s, f, *_ in rows}
+    nodes = {x for e in edges for x in e}
+    assert len(nodes) > 120
+    run = lambda name: {x[0]: x[1:] for x in workloads.QUERIES[name](spark, str(tmp_path)).collect()}
+
+    def parts(without):
+        near = {v: set() for v in nodes if v != without}
+        for a, b in edges:
+            if without not in (a, b):
+                near[a].add(b)
+                near[b].add(a)
+        n, left = 0, set(near)
+        while left:
+            n, todo = n + 1, [left.pop()]
+            while todo:
+                more = near[todo.pop()] & left
+                left -= more
+                todo += more
+        return n
+
+    assert set(run("gra10_articulation")) == {v for v in nodes if parts(v) > parts(None)}
+    expected = plain_betweenness(edges)
+    monkeypatch.setattr(kernels, "SHARE", 30)
+    found = run("gra12_betweenness")
+    assert set(found) == nodes and all(found[v][0] == pytest.approx(expected[v]) for v in nodes)
+    rank = {v: 1 / len(nodes) for v in nodes}
+    out = {v: sum(a == v for a, _ in edges) for v in nodes}
+    for _ in range(100):
+        base = (0.15 + 0.85 * sum(rank[v] for v in nodes if not out[v])) / len(nodes)
+        new = dict.fromkeys(nodes, base)
+        for a, b in edges:
+            new[b] += 0.85 * rank[a] / out[a]
+        rank = new
+    found = run("gra13_pagerank")
+    assert set(found) == nodes and all(found[v][0] == pytest.approx(rank[v], abs=2e-5) for v in nodes)
+    found = run("gra14_communities")
+    assert set(found) == nodes and 1 < len(set(found.values())) < len(nodes)
+
+
+def test_deep_betweenness():
+    path = [(k, k + 1) for k in range(100)] + [(0, 50), (7, 3)]
+    g = of(path)
+    assert kernels.betweenness(g).tolist() == pytest.approx(list(plain_betweenness(path).values()))
+
+
 def test_betweenness_is_refused(spark):
     e = spark.createDataFrame([(str(k), str(k + 1)) for k in range(20)], "src string, dst string")
     with pytest.raises(Exception, match="refused"):
