@@ -35,7 +35,7 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences: (seq_id, doc_id, piece, tokens, cost)."""
-    return packing.pack(docs)
+    return packing.pack_counted(docs)
 
 
 STAGES = [

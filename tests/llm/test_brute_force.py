@@ -340,6 +340,18 @@ def test_packing_brute(spark, capacity, group):
     assert found.groupby("seq_id")["tokens"].sum().max() <= capacity
 
 
+@pytest.mark.parametrize("capacity,group", [(4096, 64 * 4096), (60, 3000)])
+def test_packing_counts_tokens(spark, capacity, group):
+    sp = pieces.library(pieces.MODEL)
+    rows = [*corpus(), cases.row(300, cases.prose(1, n=900).upper()), cases.row(301, "ሀለሐመ" * 500), cases.row(302, ""), cases.row(303, None), *(cases.row(400 + k, t) for k, t in enumerate(texts()))]
+    found = packing.pack_counted(cases.documents(spark, rows), capacity, group).toPandas()
+    true = {r[0]: len(sp.encode(r[1])) for r in rows if r[1]}
+    assert found.groupby("doc_id")["tokens"].sum().to_dict() == true
+    assert found["tokens"].max() <= capacity and found.groupby("seq_id")["tokens"].sum().max() <= capacity
+    assert found.groupby("doc_id").size().to_dict() == {d: math.ceil(n / capacity) for d, n in true.items()}
+    assert true[301] > 2 * 12 * 500 / packing.BYTES_PER_TOKEN  # one for each byte
+
+
 # 8 and 10: tokens
 
 

@@ -1,6 +1,7 @@
 """Operator 7, cost-balanced packing of documents into training sequences.
 
-A document's tokens are estimated from its bytes, its cost as LINEAR·tokens + QUADRATIC·tokens² (projections and attention).
+A document's tokens are counted with the piece file (`pack_counted`, what the query and the pipeline run) or, where the caller
+wants no tokenizer, guessed from its bytes (`pack`); its cost is estimated as LINEAR·tokens + QUADRATIC·tokens² (projections and attention).
 Documents are spread over groups by a hash of their id, as many groups as the corpus has tokens for, so a group's size doesn't
 grow with the corpus. In a group, descending by cost, each document goes to the sequence of lowest cost
 that still has room for its tokens; a new sequence is opened when none has. A document of more tokens than a sequence holds is cut into
@@ -15,15 +16,20 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable
+from .common import importable, settle
+from .pieces import MODEL, MOST, UNIT, by_library, library, normal
 
 CAPACITY = 4096  #: tokens of a sequence
-BYTES_PER_TOKEN = 2.5  #: of the public 32k piece vocabulary on such prose
+BYTES_PER_TOKEN = 2.5  #: of the public 32k piece vocabulary on such prose; only where tokens aren't counted
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 GROUP_TOKENS = 64 * CAPACITY  #: tokens in a group, about
 FILL = 0.97  #: share of capacity that the first sequences of a group are reckoned with
@@ -66,15 +72,53 @@ def _pack(capacity: int):
 def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, tokens) with no piece longer than capacity."""
     n = F.ceil(F.octet_length(F.col("text").cast("string")) / F.lit(BYTES_PER_TOKEN)).cast("long")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n")).where("n > 0")
+    return _cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n")).where("n > 0"), capacity)
+
+
+def _cut(own: DataFrame, capacity: int) -> DataFrame:
     cut = own.select("doc_id", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int"))).alias("piece"))
     return cut.select("doc_id", "piece", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * F.lit(capacity).cast("long")).alias("tokens"))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """(seq_id, doc_id, piece, tokens, cost) of every document with text."""
+    """(seq_id, doc_id, piece, tokens, cost) of every document with text, tokens guessed from bytes."""
+    importable(docs.sparkSession)
+    return _placed(pieces(docs, capacity), capacity, group_tokens)
+
+
+@lru_cache(2)
+def _lengths(path: str) -> dict[str, int]:
+    """Tokens of the units that a worker knows."""
+    return {}
+
+
+def _counts(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, sp = _lengths(path), library(path)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                cut = [UNIT.findall(normal(t)) if t else [] for t in batch.column("text").to_pylist()]
+                units: set[str] = set().union(*cut)
+                new = list(units.difference(known))
+                if len(known) + len(new) > MOST:
+                    known.clear()
+                    new = list(units)
+                known.update(zip(new, map(len, by_library(sp, new))))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sum(map(known.__getitem__, x)) for x in cut], pa.int64())], names=["doc_id", "n"])
+
+    return run
+
+
+def pack_counted(docs: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, model: str = MODEL) -> DataFrame:
+    """(seq_id, doc_id, piece, tokens, cost) of every document with text, tokens counted over whole texts; texts are read once."""
     importable(docs.sparkSession)
-    cut = pieces(docs, capacity)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    counted = settle(own.mapInArrow(_counts(model), "doc_id long, n long").where("n > 0"))
+    return _placed(_cut(counted, capacity), capacity, group_tokens)
+
+
+def _placed(cut: DataFrame, capacity: int, group_tokens: int) -> DataFrame:
     total = cut.agg(F.sum("tokens")).first()[0] or 0
     groups = max(1, math.ceil(total / group_tokens))
     placed = cut.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "piece"), F.lit(groups)))

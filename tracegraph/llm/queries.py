@@ -21,7 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard_join": _over("documents", ngram_join.ngram_jaccard_join),
     "op5_html_consensus": _over("pages", html_consensus.extract),
     "op6_sharding_table": _over("documents", sharding.assign),
-    "op7_packing_balanced": _over("documents", packing.pack),
+    "op7_packing_balanced": _over("documents", packing.pack_counted),
     "op8_sentencepiece_bpe": _over("documents", sentencepiece_bpe.encode_documents),
     "op9_embedding_grid_join": _over("embeddings", embedding_join.near_duplicates),
     "op10_token_counts": _over("documents", token_counts.count_tokens),
