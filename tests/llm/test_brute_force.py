@@ -80,6 +80,17 @@ def test_language_stage_rejects_letterless(spark):
     assert kept == set(range(30))
 
 
+def test_rare_languages_are_in_the_model(spark):
+    rows = [cases.row(k, cases.prose(k), None) for k in range(300)] + [cases.row(None, cases.prose(k)) for k in range(300, 360)]
+    rows += [cases.row(k, cases.prose(k, "fr"), "fr") for k in range(400, 403)] + [cases.row(500, cases.prose(500, "de"), "de"), cases.row(501, "12 34", "xx")]
+    docs = cases.documents(spark, rows)
+    drawn = Counter(r["lang"] for r in language_id.sample(docs, 20, 2).collect())
+    assert drawn == {"en": 19, "fr": 2, "de": 1}
+    model = language_id.train(docs, 20)
+    assert model.languages == ["de", "en", "fr"]
+    assert [model.languages[int(model.probabilities(cases.prose(k, lang)).argmax())] for k, lang in ((900, "de"), (901, "en"), (902, "fr"))] == ["de", "en", "fr"]
+
+
 # 2: quality
 
 

@@ -4,8 +4,9 @@ A document becomes the TF-IDF vector, of length one, of its hashed character n-g
 else a space); document frequencies are counted over all documents. A multinomial logistic
 regression is trained on documents with a language label by follow-the-regularised-leader (FTRL-proximal, one rate for each
 weight, L1 and L2 penalties, so most weights are exactly zero), then a temperature that minimises the loss on
-held-out labelled rows divides its scores. Only the fit is bounded: it uses about MAX_TRAIN labelled documents, chosen by a
-hash of doc_id from all of them; their texts count whole.
+held-out labelled rows divides its scores. Only the fit is bounded: it uses about MAX_TRAIN labelled documents, of each language its share
+but LEAST_TRAIN at least (or all it has), those of the smallest hash of doc_id and text; their texts count whole. Every
+language that labels a text with a letter is in the model at every size.
 
 Defined results: a null, empty or letterless text has predicted and confidence null and is rejected; without any
 labelled text there is no model, nothing is predicted and every document is accepted; null doc_ids stay
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import codes, fresh, importable, letters
@@ -28,7 +29,8 @@ from .common import codes, fresh, importable, letters
 BITS = 14
 FEATURES = 1 << BITS
 MAX_TRAIN = 3000  #: bound of the labelled rows that the classifier is fitted on
-HELD_OUT = 5  #: every fifth of them calibrates the temperature
+LEAST_TRAIN = 50  #: labelled rows of a language that are taken however rare it is
+HELD_OUT = 5  #: every fifth of a language's calibrates the temperature
 MIN_CONFIDENCE = 0.5
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.001, 3
 
@@ -127,7 +129,10 @@ def fit(rows: list[tuple[int | None, str, str]], documents: int, frequency: np.n
     rng = np.random.default_rng(7)
     examples = [(*_vector(text, idf), languages.index(lang)) for _, lang, text in rows]
     examples = [e for e in examples if len(e[0])]
-    held, own = examples[::HELD_OUT], [e for k, e in enumerate(examples) if k % HELD_OUT]
+    held, own, seen = [], [], [0] * len(languages)
+    for e in examples:
+        seen[e[2]] += 1
+        (own if seen[e[2]] % HELD_OUT else held).append(e)
     ftrl = Ftrl(FEATURES, len(languages))
     for _ in range(EPOCHS):
         for k in rng.permutation(len(own)):
@@ -154,10 +159,26 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     totals = {r["feature"]: r["n"] for r in counted.groupBy("feature").agg(F.sum("n").alias("n")).collect()}
     documents = totals.get(-1, 0)
     frequency = np.array([totals.get(k, 0) for k in range(FEATURES)], dtype=float)
-    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", F.col("text").cast("string").alias("text"))
-    if documents > max_train:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < math.ceil((1 << 30) * max_train / documents))
-    return fit([tuple(r) for r in labelled.limit(4 * max_train).collect()], documents, frequency)
+    return fit([tuple(r) for r in sample(docs, max_train).collect()], documents, frequency)
+
+
+def sample(docs: DataFrame, max_train: int = MAX_TRAIN, least: int = LEAST_TRAIN) -> DataFrame:
+    """(doc_id, lang, text) of the labelled rows with a letter that the fit takes.
+
+    The rows of smallest hash of each language, up to its quota. Only rows under a bound are sorted: about twice the quota, and the smallest hash.
+    """
+    spread, number = 1 << 62, fresh(docs, "rank_of_row")
+    labelled = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    labelled = labelled.withColumn("hash", F.pmod(F.xxhash64("doc_id", "text"), F.lit(spread)))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("hash").alias("low")).collect()
+    total = sum(r["n"] for r in counts)
+    limits = []
+    for r in counts:
+        quota = min(r["n"], max(least, math.ceil(max_train * r["n"] / total)))
+        limits.append((r["lang"], quota, max(r["low"], min(spread, spread * 2 * quota // r["n"]))))
+    quotas = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, quota long, bound long"))
+    few = labelled.join(quotas, "lang").where("hash <= bound").withColumn(number, F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id", "text")))
+    return few.where(F.col(number) <= F.col("quota")).select("doc_id", "lang", "text")
 
 
 def judge(model: Model | None, min_confidence: float = MIN_CONFIDENCE):
