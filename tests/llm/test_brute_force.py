@@ -284,6 +284,15 @@ def test_consensus_paths(spark):
         assert out[k]["text"] == f"{cases.prose(k, n=30)}\n{cases.prose(k, n=30)} again"
 
 
+def test_all_elements_of_a_path(spark):
+    body = "a long enough article " * 10
+    one = f"<body><div class='post-1'><p>{body}</p></div></body>"
+    pages = [one, one, one, f"<body><div class='post-1'></div><div class='post-2'><p>intro</p></div><div class='post-3'><p>{body}</p></div></body>", f"<body><div class='post-1'> </div><div class='other'><p>{body}</p></div></body>"]
+    out = {r["page_id"]: r for r in html_consensus.extract(spark.createDataFrame([(k, f"https://h.example/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    assert out[3]["text"] == f"intro\n{body.strip()}" and out[3]["by_host"]
+    assert out[4]["text"] == body.strip() and out[4]["path"] == "body/div.other"
+
+
 # 6: sharding
 
 

@@ -3,7 +3,7 @@
 Every block element of a page has a generalised path: its tags from the root down, each with its classes, digits in them replaced. Text
 blocks give points to their parent and half to its parent, less for text in links; a page votes for the path of
 its best element with a point and the score. Votes are summed for each host in Spark, and the host's paths, most votes first, are tried on each of
-its pages: the first that occurs gives the text. A page on which none occurs, or that has no host, keeps its own best element.
+its pages: the first whose elements (digits are replaced, so a page may have several of one path) have text gives it, that of all of them in order. A page on which none does, or that has no host, keeps its own best element.
 
 Only (host, path, votes) is shuffled. The table of winning paths is broadcast if it has at most MOST_BROADCAST rows, and joined by
 host otherwise.
@@ -169,12 +169,16 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page, paths in zip(pdf["html"], pdf["paths"]):
             elements, runs = parse(page)
             own, _ = best(elements)
-            by_path: dict[str, Element] = {}
+            by_path: dict[str, list[Element]] = {}
             for e in elements:
-                by_path.setdefault(e.path, e)
-            won = next((p for p in (paths if paths is not None else ()) if p in by_path), None)
-            e = by_path[won] if won is not None else own
-            out.append((e.path if e else None, won is not None, content(e, runs) if e else ""))
+                by_path.setdefault(e.path, []).append(e)
+            for p in paths if paths is not None else ():
+                text = "\n".join(filter(None, (content(e, runs) for e in by_path.get(p, ()))))
+                if text:
+                    out.append((p, True, text))
+                    break
+            else:
+                out.append((own.path if own else None, False, content(own, runs) if own else ""))
         yield pd.concat([pdf[["page_id", "host"]].reset_index(drop=True), pd.DataFrame(out, columns=["path", "by_host", "text"])], axis=1)
 
 
