@@ -6,7 +6,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import rows_of
+from compare import rows_of
 
 from tracegraph import workloads
 
