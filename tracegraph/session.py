@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
-from functools import lru_cache
 from pathlib import Path
-from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -27,48 +25,20 @@ def session(app: str = "tracegraph", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-@lru_cache(8)
-def _folder(named: str | None, application: str) -> str:
-    return f"{(named or tempfile.mkdtemp(prefix='tracegraph-')).rstrip('/')}/tracegraph-{application}"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Where this application writes what it cuts lineage with: under spark.checkpoint.dir, which all executors share.
-
-    Where that is unset, a temporary folder serves on one machine; on a cluster it is refused. The folder goes when the driver ends.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = _folder(named, sc.applicationId)
-    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(sc._jsc.hadoopConfiguration())
-    system.mkdirs(path)
-    system.deleteOnExit(path)
-    return folder
-
-
 def settle(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: df as a table written to the shared folder and read again, so a lost executor loses nothing."""
-    return measured(df)[0]
-
+    """Cuts the lineage by a reliable checkpoint in spark.checkpoint.dir, which all executors share, so a lost one loses nothing.
 
-def measured(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
-    """settle(df) with aggregates over its rows that are taken while it is written."""
+    Where that is unset, a temporary folder serves on one machine; on a cluster it is refused. With
+    spark.cleaner.referenceTracking.cleanCheckpoints Spark deletes what nothing refers to any more.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid4().hex}"
-    seen = Observation() if figures else None
-    (df.observe(seen, *[c.alias(n) for n, c in figures.items()]) if seen else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get if seen else {}
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a settled table that nothing will read again, such as the last round of a loop."""
-    sc = df.sparkSession.sparkContext
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracegraph-"))
+    return df.checkpoint()
 
 
 def importable(spark: SparkSession) -> None:
