@@ -1,9 +1,8 @@
-"""Helpers that the operators share: reading, fresh names, checkpoints, text codes."""
+"""Helpers that the operators share: reading, fresh names, connected groups, text codes."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 from functools import lru_cache
 from pathlib import Path
 
@@ -11,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -50,18 +51,37 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that all executors share.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset, as in tests on
-    one machine, a temporary one is made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracegraph-checkpoint-"))
-    return df.checkpoint()
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, label): label is the smallest node of the group that edges (u, v) connect. Labels jump, so rounds grow with the logarithm of a path's length."""
+    e = settle(edges.select("u", "v").union(edges.select("v", "u")).distinct())
+    label = settle(e.groupBy("u").agg(F.least("u", F.min("v")).alias("label")))
+    while True:
+        heard = e.join(label.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("heard"))
+        lower = label.join(heard, "u").select("u", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
+        beyond = lower.select(F.col("u").alias("label"), F.col("label").alias("further"))
+        new = settle(lower.join(beyond, "label").select("u", "was", F.least("label", "further").alias("label")))
+        changed = not new.where("label < was").isEmpty()
+        label = new.select("u", "label")
+        if not changed:
+            return label.withColumnRenamed("u", "node")
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(x, smallest number connected with it) for those of 0 to n - 1 that pairs (a, b) connect with a smaller one."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        old = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        np.minimum.at(label, old[a], low)
+        np.minimum.at(label, old[b], low)
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+        if np.array_equal(label, old):
+            break
+    moved = np.flatnonzero(label < np.arange(n))
+    return moved, label[moved]
 
 
 def documents_by_id(docs: DataFrame) -> DataFrame:

@@ -5,22 +5,25 @@ documents follows from the entry of A·Aᵀ (the overlap) and the two row sizes.
 in blocks of columns:
 
 1. One pass finds each document's set of n-gram hashes, its size and a signature of the whole set,
-   and counts n-grams in a table of a fixed number of buckets. Documents of one signature are one
-   row of A from here on, so thousands of copies cost no more than one.
+   and counts n-grams in buckets, as many as the text asks for up to 2**MOST_BITS. Documents of one signature and
+   size are one row of A from here on, so copies, however many, cost no more than one in each partition.
 2. Columns are ordered by bucket count, rare ones first (any order that is the same for all rows is
    right; this one leaves passages that many documents share to the end). A row of n columns keeps
    its first n - ceil(t·n) + 1: two rows of similarity t or more have one of them in common.
-   These entries go, packed, to the block of their column, where the product's counts accumulate.
+   These entries go, packed, to the block of their column, where the product's counts accumulate; they leave it as
+   partial counts whenever PAIRS_AT_ONCE are held. A column of more than HOT rows is cut into tiles of rows, and each pair of tiles is a column of its own.
 3. With counts summed over blocks, a pair is dropped when even the best case for the entries left out,
    max(ceil(t·n_a), ceil(t·n_b)) - 1, can't reach the overlap t/(1+t)·(n_a+n_b) that its sizes ask for.
 4. The pairs left are counted over all columns. Rows that belong together are put in blocks
-   of at most BLOCK_ROWS, and each pair of blocks that holds a pair to check gets its texts once.
+   of about BLOCK_GRAMS entries, and each pair of blocks that holds a pair to check gets its texts once.
 
-No partner, candidate or column is capped. Hashes have 64 bits.
+A pair of blocks gives each row's links and a forest of what it connects, not its pairs, so the result has a row for each document whatever the
+groups' sizes; similar_sets gives the pairs of different sets. No partner, candidate or column is capped. Hashes have 64 bits; until step 4, 32 bits of a column and of a signature are
+compared, and rows of one tile meet once for each of its pairs: all can only count too much, which step 4 puts right.
 
-Defined results: rows without a doc_id and texts that are null or have no word are in no pair; a
+Defined results: rows without a doc_id are left out; texts that are null or have no word are a class of their own with no links; a
 text of fewer than n words has one n-gram, all its words; of rows that repeat a doc_id the one with the
-smallest text counts; other columns are not read; an empty table gives an empty result.
+smallest text counts; a pair exactly at the threshold counts; very long texts count whole; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,19 +34,21 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import codes, documents_by_id, fresh, importable, letters_or_digits, mix, settle
+from .common import codes, connected, documents_by_id, forest, fresh, importable, letters_or_digits, mix, settle
 
 N = 3  #: words of an n-gram
-THRESHOLD = 0.7  #: least similarity of a pair that is reported
-NEAR_COPY = 0.5  #: least similarity of near copies, of which one stays: a changed word costs three trigrams, so an edited copy of a short text is well under 0.7
-BUCKETS = 1 << 20  #: counters for the order of columns
+THRESHOLD = 0.5  #: least similarity of a pair; a changed word costs three trigrams, so an edited copy of a short text is well under 0.7
+LEAST_BITS, MOST_BITS = 20, 24  #: of the number of counters for the order of columns; 2**24 of them are broadcast in 64 MB
+BYTES_PER_COUNTER = 512  #: of text
 PIECES = 64  #: rows that carry the counters of a partition
-COLUMNS_PER_BLOCK = 8_000_000  #: entries of A for each block of columns, at THRESHOLD
-BLOCK_ROWS = 128  #: rows in a block while pairs are checked
-PAIRS_AT_ONCE = 2_000_000  #: of one block held in memory before they are added up
+ENTRIES_PER_BLOCK = 2_000_000  #: kept entries of A in a block of columns, about; in more blocks a pair is counted in more parts
+ENTRIES_AT_ONCE = 2_000_000  #: that a task holds before it packs them
+HOT = 10_000  #: rows of a column in a tile
+BLOCK_GRAMS = 100_000  #: entries of A in a block of rows while pairs are checked, about
+PAIRS_AT_ONCE = 1_000_000  #: of one block of columns held before they are added up or passed on
 
 
 @lru_cache(1)
@@ -112,28 +117,33 @@ def one_text_each(docs: DataFrame) -> DataFrame:
     return own.join(repeated, "doc_id", "left_anti").unionByName(again)
 
 
-def _survey(n: int):
-    """Batches of (doc_id, text) to packed (doc_id, signature, size) and, at the end, the counters."""
+def _encoded(counts: np.ndarray) -> bytes:
+    """A byte for each count, then (place, rest) of those over 255."""
+    over = np.flatnonzero(counts > 255)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + np.c_[over, counts[over] - 255].astype(np.int64).tobytes()
+
+
+def _survey(n: int, bits: int):
+    """Batches of (doc_id, text) to packed (doc_id, signature, size) and, at the end, the counters over the partition's different sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(BUCKETS, dtype=np.int64)
-        seen = False
+        counts = np.zeros(1 << bits, dtype=np.int64)
+        seen: set[tuple[int, int]] = set()
         for pdf in batches:
-            ids, signatures, sizes, buckets = [], [], [], []
+            rows, buckets = [], []
             for i, text in zip(pdf["doc_id"], pdf["text"]):
                 g = ngram_hashes(text, n)
-                if len(g):
-                    ids.append(i)
-                    signatures.append(_signature(g))
-                    sizes.append(len(g))
-                    buckets.append(g >> np.uint64(44))
-            if ids:
-                seen = True
-                counts += np.bincount(np.concatenate(buckets).astype(np.int64), minlength=BUCKETS)
-                yield pd.DataFrame({"piece": [-1], "data": [np.array([ids, signatures, sizes], dtype=np.int64).tobytes()]})
+                key = (_signature(g) if len(g) else 0, len(g))
+                rows.append((i, *key))
+                if len(g) and key not in seen:
+                    seen.add(key)
+                    buckets.append(g >> np.uint64(64 - bits))
+            if buckets:
+                counts += np.bincount(np.concatenate(buckets).astype(np.int64), minlength=1 << bits)
+            if rows:
+                yield pd.DataFrame({"piece": [-1], "data": [np.array(rows, dtype=np.int64).T.tobytes()]})
         if seen:
-            c = np.minimum(counts, 2**31 - 1).astype(np.int32).reshape(PIECES, -1)
-            yield pd.DataFrame({"piece": range(PIECES), "data": [x.tobytes() for x in c]})
+            yield pd.DataFrame({"piece": range(PIECES), "data": [_encoded(x) for x in counts.reshape(PIECES, -1)]})
 
     return run
 
@@ -145,58 +155,109 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc_id": a[0], "signature": a[1], "n": a[2].astype(np.int32)})
 
 
-def _added(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(BUCKETS // PIECES, dtype=np.int64)
-    for data in pdf["data"]:
-        total += np.frombuffer(data, dtype=np.int32)
-    return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "data": [np.minimum(total, 65535).astype(np.uint16).tobytes()]})
+def _added(bits: int, last: bool):
+    """Counters of one piece, added up as they come; the last step leaves 32 bits of each."""
+    width = (1 << bits) // PIECES
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(width, dtype=np.int64)
+        for pdf in batches:
+            for data in pdf["data"]:
+                total += np.frombuffer(data, dtype=np.uint8, count=width)
+                more = np.frombuffer(data, dtype=np.int64, offset=width).reshape(-1, 2)
+                total[more[:, 0]] += more[:, 1]
+        yield pd.DataFrame({"piece": [key[0]], "data": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes() if last else _encoded(total)]})
+
+    return run
 
 
-def _entries(n: int, t: float, blocks: int, order):
-    """Batches of (doc_id, text) to one packed row for each block of columns."""
+def _entries(n: int, t: float, bits: int, blocks: int, order, hot: int):
+    """Batches of (doc_id, text) to one packed row for each block of columns; sets that the partition has had are passed over."""
+
+    def packed(signatures: list[int], sizes: list[int], grams: list[np.ndarray], heat: list[np.ndarray]) -> pd.DataFrame:
+        rows = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        column, tiles = np.concatenate(grams), -(-np.concatenate(heat).astype(np.int64) // hot)
+        own = np.array(signatures, dtype=np.int64)
+        at = np.flatnonzero(tiles > 1)
+        if len(at):
+            k = np.repeat(at, tiles[at])
+            other = np.arange(len(k)) - np.repeat(np.cumsum(tiles[at]) - tiles[at], tiles[at])
+            mine = (mix(own.view(np.uint64))[rows[k]] % tiles[k].astype(np.uint64)).astype(np.int64)
+            tile = np.minimum(mine, other) * tiles[k] + np.maximum(mine, other) + 1
+            with np.errstate(over="ignore"):
+                tiled = mix(column[k] + mix(tile.astype(np.uint64)))
+            cold = tiles <= 1
+            rows, column = np.r_[rows[cold], rows[k]], np.r_[column[cold], tiled]
+        block = (column % np.uint64(blocks)).astype(np.int64)
+        at = np.argsort(block, kind="stable")
+        found, cuts = np.unique(block[at], return_index=True)
+        out = []
+        for b, part in zip(found.tolist(), np.split(at, cuts[1:])):
+            used, local = np.unique(rows[part], return_inverse=True)
+            out.append((b, own[used].tobytes(), np.array(sizes, dtype=np.int32)[used].tobytes(), (column[part] >> np.uint64(20)).astype(np.uint32).tobytes(), local.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes()))
+        return pd.DataFrame(out, columns=["block", "signatures", "sizes", "columns", "rows"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.frombuffer(order.value, dtype=np.uint16)
+        counts = np.frombuffer(order.value, dtype=np.uint32)
+        seen: set[tuple[int, int]] = set()
+        held: tuple[list, list, list, list] = ([], [], [], [])
+        waiting = 0
         for pdf in batches:
-            signatures, sizes, grams = [], [], []
             for text in pdf["text"]:
                 g = ngram_hashes(text, n)
-                if len(g):
-                    rank = np.argsort(counts[(g >> np.uint64(44)).astype(np.int64)], kind="stable")
-                    signatures.append(_signature(g))
-                    sizes.append(len(g))
-                    grams.append(g[rank[: _prefix(len(g), t)]])
-            if not grams:
-                continue
-            rows = np.repeat(np.arange(len(grams), dtype=np.uint16 if len(grams) < 65536 else np.uint32), [len(g) for g in grams])
-            column = np.concatenate(grams)
-            block = (column % np.uint64(blocks)).astype(np.int64)
-            at = np.argsort(block, kind="stable")
-            cuts = np.cumsum(np.bincount(block, minlength=blocks))[:-1]
-            out = []
-            for b, part in enumerate(np.split(at, cuts)):
-                if len(part):
-                    own, local = np.unique(rows[part], return_inverse=True)
-                    out.append((b, np.array(signatures, dtype=np.int64)[own].tobytes(), np.array(sizes, dtype=np.int32)[own].tobytes(), (column[part] >> np.uint64(20)).astype(np.uint32).tobytes(), local.astype(np.uint16 if len(own) < 65536 else np.uint32).tobytes()))
-            yield pd.DataFrame(out, columns=["block", "signatures", "sizes", "columns", "rows"])
+                key = (_signature(g) if len(g) else 0, len(g))
+                if not len(g) or key in seen:
+                    continue
+                seen.add(key)
+                c = counts[(g >> np.uint64(64 - bits)).astype(np.int64)]
+                at = np.argsort(c, kind="stable")[: _prefix(len(g), t)]
+                for own, x in zip(held, (*key, g[at], c[at])):
+                    own.append(x)
+                waiting += len(at)
+                if waiting > ENTRIES_AT_ONCE:
+                    yield packed(*held)
+                    held, waiting = ([], [], [], []), 0
+        if waiting:
+            yield packed(*held)
 
     return run
 
 
+def _met(r: np.ndarray, first: np.ndarray, length: np.ndarray, size: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(pair, number of columns) of the rows r[first : first + length] that meet in a column and whose sizes fit; rows are numbered by size."""
+    for m in np.unique(length):
+        lists = r[first[length == m][:, None] + np.arange(m)]
+        lists, weight = np.unique(lists, axis=0, return_counts=True)  # columns with the same rows count together
+        if m <= 64:
+            i, j = np.triu_indices(m, 1)
+            step = max(1, PAIRS_AT_ONCE // 4 // len(i))
+            for at in range(0, len(lists), step):
+                part, w = lists[at : at + step], weight[at : at + step]
+                a, b, w = part[:, i].ravel(), part[:, j].ravel(), np.repeat(w, len(i))
+                fits = size[a] >= t * size[b] - 1e-9
+                yield a[fits] * len(size) + b[fits], w[fits]
+        else:
+            for part, w in zip(lists, weight):
+                reach = np.searchsorted(size[part], size[part] / t + 1e-9, side="right")
+                for k in range(m - 1):
+                    b = part[k + 1 : reach[k]]
+                    if len(b):
+                        yield part[k] * len(size) + b, np.full(len(b), w)
+
+
 def _product(t: float):
-    """One block of columns to the pairs of rows with entries in common, with counts."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        signature = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["signatures"]])
-        size = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["sizes"]]).astype(np.int64)
-        shift, rows = 0, []
-        for s, r, c in zip(pdf["signatures"], pdf["rows"], pdf["columns"]):
-            wide = len(r) // (len(c) // 4)
-            rows.append(np.frombuffer(r, np.uint16 if wide == 2 else np.uint32).astype(np.int64) + shift)
-            shift += len(s) // 8
-        row = np.concatenate(rows)
-        column = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["columns"]]).astype(np.uint64)
-        del rows
+    """One block of columns to the pairs of rows with entries in common, with counts, which may come in several parts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signatures, sizes, rows, columns, shift = [], [], [], [], 0
+        for pdf in batches:
+            for s, z, r, c in zip(pdf["signatures"], pdf["sizes"], pdf["rows"], pdf["columns"]):
+                signatures.append(np.frombuffer(s, np.int64))
+                sizes.append(np.frombuffer(z, np.int32))
+                rows.append(np.frombuffer(r, np.uint16 if len(r) * 2 == len(c) else np.uint32).astype(np.int64) + shift)
+                columns.append(np.frombuffer(c, np.uint32))
+                shift += len(s) // 8
+        signature, size = np.concatenate(signatures), np.concatenate(sizes).astype(np.int64)
         # copies are one row; rows are numbered by size, so partners of fitting size follow each other
         order = np.lexsort((signature, size))
         new = np.ones(len(order), dtype=bool)
@@ -204,176 +265,185 @@ def _product(t: float):
         number = np.empty(len(order), dtype=np.int64)
         number[order] = np.cumsum(new) - 1
         signature, size = signature[order][new], size[order][new]
-        keys = np.unique((column << np.uint64(32)) | number[row].astype(np.uint64))
-        del row, column
+        keys = np.unique((np.concatenate(columns).astype(np.uint64) << np.uint64(32)) | number[np.concatenate(rows)].astype(np.uint64))
+        del signatures, sizes, rows, columns
         c, r = keys >> np.uint64(32), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.empty(0, np.int64)
+        first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
         length = np.diff(np.r_[first, len(c)])
-        first, length = first[length > 1], length[length > 1]
-        done: list[tuple[np.ndarray, np.ndarray]] = []
+        del keys, c
+
+        half = (signature >> 32).astype(np.int32)  # with the size, enough to tell sets apart before the exact check
+
+        def frames(k: np.ndarray, w: np.ndarray) -> Iterator[pd.DataFrame]:
+            for at in range(0, len(k), 200_000):
+                a, b = k[at : at + 200_000] // len(size), k[at : at + 200_000] % len(size)
+                swap = (half[a] > half[b]) | ((half[a] == half[b]) & (size[a] > size[b]))
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                yield pd.DataFrame({"sig_a": half[a], "sig_b": half[b], "n_a": size[a].astype(np.int32), "n_b": size[b].astype(np.int32), "common": w[at : at + 200_000]})
+
         held: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
-
-        def add_up() -> None:
-            nonlocal waiting
-            if held:
-                k = np.concatenate([x for x, _ in held + done])
-                w = np.concatenate([x for _, x in held + done])
-                u, back = np.unique(k, return_inverse=True)
-                done[:] = [(u, np.bincount(back, weights=w, minlength=len(u)).astype(np.int64))]
-            held.clear()
-            waiting = 0
-
-        for m in np.unique(length):
-            lists = r[first[length == m][:, None] + np.arange(m)]
-            lists, weight = np.unique(lists, axis=0, return_counts=True)  # columns with the same rows count together
-            if m <= 64:
-                i, j = np.triu_indices(m, 1)
-                for at in range(0, len(lists), max(1, PAIRS_AT_ONCE // len(i))):
-                    part, w = lists[at : at + max(1, PAIRS_AT_ONCE // len(i))], weight[at : at + max(1, PAIRS_AT_ONCE // len(i))]
-                    a, b, w = part[:, i].ravel(), part[:, j].ravel(), np.repeat(w, len(i))
-                    fits = size[a] >= t * size[b] - 1e-9
-                    held.append((a[fits] * len(size) + b[fits], w[fits]))
-                    waiting += int(fits.sum())
-                    if waiting > PAIRS_AT_ONCE:
-                        add_up()
-            else:
-                for part, w in zip(lists, weight):
-                    reach = np.searchsorted(size[part], size[part] / t + 1e-9, side="right")
-                    for k in range(m - 1):
-                        b = part[k + 1 : reach[k]]
-                        held.append((part[k] * len(size) + b, np.full(len(b), w)))
-                        waiting += len(b)
-                        if waiting > PAIRS_AT_ONCE:
-                            add_up()
-        add_up()
-        k, w = done[0] if done else (np.empty(0, np.int64), np.empty(0, np.int64))
-        a, b = k // max(1, len(size)), k % max(1, len(size))
-        x, y = signature[a], signature[b]
-        swap = x > y
-        x, y, nx, ny = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, size[b], size[a]), np.where(swap, size[a], size[b])
-        return pd.DataFrame({"sig_a": x, "sig_b": y, "n_a": nx.astype(np.int32), "n_b": ny.astype(np.int32), "common": w})
+        for k, w in _met(r, first[length > 1], length[length > 1], size, t):
+            held.append((k, w))
+            waiting += len(k)
+            if waiting > PAIRS_AT_ONCE:
+                held = [_summed(held)]
+                waiting = len(held[0][0])
+                if waiting > PAIRS_AT_ONCE // 2:
+                    yield from frames(*held[0])
+                    held, waiting = [], 0
+        if held:
+            yield from frames(*_summed(held))
 
     return run
 
 
-def _counted(n: int):
-    """A pair of row blocks: exact overlaps of the pairs in it."""
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    pairs, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return pairs, np.bincount(back, weights=np.concatenate([w for _, w in held]), minlength=len(pairs)).astype(np.int64)
+
+
+PAIRS = "rep_a long, rep_b long, n_a int, n_b int, overlap int"
+LINKS = "u long, v long, links long"
+
+
+def _checked(n: int, t: float, as_pairs: bool):
+    """A pair of row blocks: exact overlaps of the pairs in it, as PAIRS or as LINKS (v null: links of u; else u and v are of one group)."""
 
     def run(pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        texts = texts.drop_duplicates("doc_id")
+        texts = texts.sort_values("doc_id")
+        docs, copies = texts["doc_id"].to_numpy(), texts["copies"].to_numpy()
         grams = [ngram_hashes(x, n) for x in texts["text"]]
-        at = {d: k for k, d in enumerate(texts["doc_id"])}
+        length = np.array([len(g) for g in grams])
         _, ids = np.unique(np.concatenate(grams), return_inverse=True)
-        starts = np.r_[0, np.cumsum([len(g) for g in grams])]
-        flag = np.zeros(len(ids) and int(ids.max()) + 1, dtype=np.int32)
-        out = []
-        for a, own in pairs.groupby("doc_a"):
-            mine = ids[starts[at[a]] : starts[at[a] + 1]]
+        starts = np.r_[0, np.cumsum(length)]
+        flag = np.zeros(int(ids.max()) + 1, dtype=np.int32)
+        pairs = pairs.sort_values("doc_a")
+        a, b = np.searchsorted(docs, pairs["doc_a"]), np.searchsorted(docs, pairs["doc_b"])
+        cuts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        overlap = np.empty(len(a), dtype=np.int64)
+        for lo, hi in zip(cuts, np.r_[cuts[1:], len(a)]):
+            mine = ids[starts[a[lo]] : starts[a[lo] + 1]]
             flag[mine] = 1
-            for b in own["doc_b"]:
-                theirs = ids[starts[at[b]] : starts[at[b] + 1]]
-                out.append((a, b, len(mine), len(theirs), int(flag[theirs].sum())))
+            theirs = np.concatenate([ids[starts[k] : starts[k + 1]] for k in b[lo:hi]])
+            overlap[lo:hi] = np.add.reduceat(flag[theirs], np.r_[0, np.cumsum(length[b[lo:hi]])[:-1]])
             flag[mine] = 0
-        return pd.DataFrame(out, columns=["rep_a", "rep_b", "n_a", "n_b", "overlap"]).astype({"rep_a": "int64", "rep_b": "int64", "n_a": "int32", "n_b": "int32", "overlap": "int32"})
+        alike = overlap >= t * (length[a] + length[b] - overlap) - 1e-9
+        a, b, overlap = a[alike], b[alike], overlap[alike]
+        if as_pairs:
+            return pd.DataFrame({"rep_a": docs[a], "rep_b": docs[b], "n_a": length[a].astype(np.int32), "n_b": length[b].astype(np.int32), "overlap": overlap.astype(np.int32)})
+        links = np.zeros(len(docs), dtype=np.int64)
+        np.add.at(links, a, copies[b])
+        np.add.at(links, b, copies[a])
+        own, (moved, root) = np.flatnonzero(links), forest(len(docs), a, b)
+        return pd.DataFrame({"u": np.r_[docs[own], docs[moved]], "v": pd.array([None] * len(own) + docs[root].tolist(), dtype="Int64"), "links": np.r_[links[own], np.zeros(len(moved), np.int64)]})
 
     return run
 
 
-def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(sets, pairs): sets is (doc_id, rep), rep the smallest doc_id with the same n-grams, for documents that have n-grams;
-    pairs is (rep_a, rep_b, n_a, n_b, overlap) of different sets that are similar enough."""
+def _compared(docs: DataFrame, n: int, t: float, as_pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(meta, reps, found): meta is (doc_id, signature, n) of every document, n being 0 without words; reps is (signature, n, rep, copies) of the different sets,
+    rep the smallest doc_id that has it; found is PAIRS or LINKS over reps."""
     spark = docs.sparkSession
     importable(spark)
-    t = threshold
     own = one_text_each(docs)
-    surveyed = settle(own.mapInPandas(_survey(n), "piece int, data binary"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, size / BYTES_PER_COUNTER)))))
+    surveyed = settle(own.mapInPandas(_survey(n, bits), "piece int, data binary"))
     meta = surveyed.where("piece < 0").mapInPandas(_unpack, "doc_id long, signature long, n int")
-    sets = settle(meta.withColumn("rep", F.min("doc_id").over(Window.partitionBy("signature"))))
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    counters = surveyed.where("piece >= 0").groupBy("piece").applyInPandas(_added, "piece int, data binary").orderBy("piece").collect()
-    order = spark.sparkContext.broadcast(b"".join(bytes(x["data"]) for x in counters))
-    wider = max(1.0, (1 - t) / (1 - THRESHOLD))  # a row keeps so many times the columns, and a block's pairs grow with the square of that
-    blocks = max(1, math.ceil(total * wider**2 / COLUMNS_PER_BLOCK))
-    entries = own.mapInPandas(_entries(n, t, blocks, order), "block int, signatures binary, sizes binary, columns binary, rows binary")
-    common = entries.groupBy("block").applyInPandas(_product(t), "sig_a long, sig_b long, n_a int, n_b int, common long")
+    reps = settle(meta.where("n > 0").groupBy("signature", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    counters = surveyed.where("piece >= 0").withColumn("turn", F.spark_partition_id() % 64)
+    counters = counters.groupBy("piece", "turn").applyInPandas(_iterated(_added(bits, False)), "piece int, data binary")
+    counters = counters.groupBy("piece").applyInPandas(_iterated(_added(bits, True)), "piece int, data binary").collect()
+    order = spark.sparkContext.broadcast(b"".join(bytes(x["data"]) for x in sorted(counters, key=lambda x: x["piece"])))
+    total = reps.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, math.ceil(total * (1 - t) / ENTRIES_PER_BLOCK))
+    entries = own.mapInPandas(_entries(n, t, bits, blocks, order, HOT), "block long, signatures binary, sizes binary, columns binary, rows binary")
+    product = _product(t)
+
+    def block_product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return product(batches)
+
+    common = entries.groupBy("block").applyInPandas(block_product, "sig_a int, sig_b int, n_a int, n_b int, common long")
     needed = F.ceil(F.lit(t / (1 + t)) * (F.col("n_a") + F.col("n_b")) - 1e-6)
     rest = F.greatest(F.ceil(t * F.col("n_a") - 1e-9), F.ceil(t * F.col("n_b") - 1e-9)) - 1
-    kept = common.groupBy("sig_a", "sig_b", "n_a", "n_b").agg(F.sum("common").alias("common")).where(F.col("common") + rest >= needed)
-    reps = sets.where("doc_id = rep").select("signature", "rep")
-    left = reps.select(F.col("signature").alias("sig_a"), F.col("rep").alias("x"))
-    right = reps.select(F.col("signature").alias("sig_b"), F.col("rep").alias("y"))
-    candidates = settle(kept.join(left, "sig_a").join(right, "sig_b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct())
-
-    # where rows lie: near the smallest row within two steps, in runs of BLOCK_ROWS
-    edges = candidates.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v"))
-    edges = edges.union(edges.select("v", "u"))
+    kept = common.groupBy("sig_a", "n_a", "sig_b", "n_b").agg(F.sum("common").alias("common")).where(F.col("common") + rest >= needed)
+    half = F.shiftright("signature", 32).cast("int")
+    left = reps.select(half.alias("sig_a"), F.col("n").alias("n_a"), F.col("rep").alias("x"))
+    right = reps.select(half.alias("sig_b"), F.col("n").alias("n_b"), F.col("rep").alias("y"))
+    candidates = settle(kept.join(left, ["sig_a", "n_a"]).join(right, ["sig_b", "n_b"]).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.when(F.col("x") < F.col("y"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("x") < F.col("y"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b")).where("doc_a < doc_b").distinct())
+
+    # where rows lie: near the smallest row within two steps, a large group in several runs and small ones together in one
+    edges = candidates.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v"), "n_a")
+    edges = edges.union(candidates.select("doc_b", "doc_a", "n_b"))
     near = edges.groupBy("u").agg(F.least("u", F.min("v")).alias("near"))
-    place = edges.join(near.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("near").alias("near"))
-    place = place.withColumn("run", F.floor((F.row_number().over(Window.partitionBy("near").orderBy("u")) - 1) / BLOCK_ROWS))
-    place = settle(place.select("u", F.struct("near", "run").alias("place")))
+    place = settle(edges.join(near.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("near").alias("near"), F.max("n_a").alias("n")))
+    weight = settle(place.groupBy("near").agg(F.sum("n").alias("weight")))
+    small = max(1, math.ceil((weight.where(F.col("weight") < BLOCK_GRAMS).agg(F.sum("weight")).first()[0] or 0) / BLOCK_GRAMS))
+    run = F.pmod(F.xxhash64("u"), F.ceil(F.col("weight") / BLOCK_GRAMS))
+    place = place.join(weight, "near").select("u", F.when(F.col("weight") < BLOCK_GRAMS, F.pmod(F.xxhash64("near"), F.lit(small))).otherwise(F.xxhash64("near", run)).alias("place"))
+    place = settle(place)
     tasks = candidates.join(place.select(F.col("u").alias("doc_a"), F.col("place").alias("pa")), "doc_a").join(place.select(F.col("u").alias("doc_b"), F.col("place").alias("pb")), "doc_b")
     tasks = settle(tasks.select(F.xxhash64(F.least("pa", "pb"), F.greatest("pa", "pb")).alias("task"), "doc_a", "doc_b"))
     members = tasks.select("task", F.col("doc_a").alias("doc_id")).union(tasks.select("task", F.col("doc_b").alias("doc_id"))).distinct()
-    texts = members.join(own, "doc_id").select("task", "doc_id", "text")
-    exact = tasks.select(F.col("task").alias("own"), "doc_a", "doc_b").groupBy("own").cogroup(texts.groupBy("task")).applyInPandas(_counted(n), "rep_a long, rep_b long, n_a int, n_b int, overlap int")
-    alike = exact.where(F.col("overlap") >= F.lit(t) * (F.col("n_a") + F.col("n_b") - F.col("overlap")) - 1e-9)
-    return sets.select("doc_id", "rep", "n"), alike
+    members = members.join(reps.select(F.col("rep").alias("doc_id"), "copies"), "doc_id")
+    texts = members.join(own, "doc_id").select("task", "doc_id", "copies", "text")
+    found = tasks.select(F.col("task").alias("own"), "doc_a", "doc_b").groupBy("own").cogroup(texts.groupBy("task")).applyInPandas(_checked(n, t, as_pairs), PAIRS if as_pairs else LINKS)
+    return meta, reps, found
+
+
+def _iterated(run):
+    """run with the hints that make Spark hand it a group's batches one after the other."""
+
+    def grouped(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return run(key, batches)
+
+    return grouped
+
+
+def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(sets, pairs): sets is (doc_id, rep), rep the smallest doc_id with the same n-grams, for documents that have n-grams;
+    pairs is (rep_a, rep_b, n_a, n_b, overlap) of different sets that are similar enough."""
+    meta, reps, pairs = _compared(docs, n, threshold, True)
+    return meta.join(reps, ["signature", "n"]).select("doc_id", "rep"), pairs
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs doc_a < doc_b with a similarity of threshold or more: (doc_a, doc_b, overlap, n_union, jaccard)."""
-    sets, pairs = set_pairs(docs, n, threshold)
-    a = sets.select(F.col("doc_id").alias("x"), F.col("rep").alias("rep_a"))
-    b = sets.select(F.col("doc_id").alias("y"), F.col("rep").alias("rep_b"))
-    near = pairs.join(a, "rep_a").join(b, "rep_b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "overlap", (F.col("n_a") + F.col("n_b") - F.col("overlap")).alias("n_union"))
-    same = sets.select(F.col("doc_id").alias("doc_a"), "rep", "n").join(sets.select(F.col("doc_id").alias("doc_b"), "rep"), "rep").where("doc_a < doc_b").select("doc_a", "doc_b", F.col("n").alias("overlap"), F.col("n").alias("n_union"))
-    every = near.unionByName(same)
-    return every.select("doc_a", "doc_b", F.col("overlap").cast("long").alias("overlap"), F.col("n_union").cast("long").alias("n_union"), F.round(F.col("overlap") / F.col("n_union"), 6).alias("jaccard"))
-
-
-def groups(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, first): first is the smallest doc_id of the connected group, for documents in a group of two or more."""
-    edges = pairs.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
-    edges = settle(edges.union(edges.select("v", "u")))
-    label = edges.groupBy("u").agg(F.least("u", F.min("v")).alias("label"))
-    label = settle(label)
-    while True:
-        heard = edges.join(label.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("heard"))
-        lower = label.join(heard, "u").select("u", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
-        beyond = lower.select(F.col("u").alias("label"), F.col("label").alias("further"))
-        new = settle(lower.join(beyond, "label").select("u", "was", F.least("label", "further").alias("label")))
-        changed = new.where("label < was").limit(1).count()
-        label = new.select("u", "label")
-        if not changed:
-            break
-    return sets.join(label.withColumnRenamed("u", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("first"))
-
-
-def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = NEAR_COPY) -> DataFrame:
+    """(doc_id, class_id, n_links) of every document: class_id is the smallest doc_id of the group that pairs with a similarity of threshold or more
+    connect, n_links the number of other documents, copies among them, that it makes such a pair with."""
+    meta, reps, found = _compared(docs, n, threshold, False)
+    found = settle(found)
+    label = connected(found.where("v IS NOT NULL").select("u", "v")).withColumnRenamed("node", "rep")
+    links = found.where("v IS NULL").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
+    classes = reps.join(label, "rep", "left").join(links, "rep", "left").select("signature", "n", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1).alias("n_links"))
+    alone = meta.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return meta.where("n > 0").join(classes, ["signature", "n"]).select("doc_id", "class_id", "n_links").unionByName(alone)
+
+
+def drop_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document, that of the smallest doc_id, of each group that similar pairs connect.
 
     All columns stay. Rows without a doc_id or without words stay; rows that repeat a kept doc_id become one
     (that of the smallest text, then of the smallest hash of its columns).
     """
     importable(docs.sparkSession)
-    sets, pairs = set_pairs(docs, n, threshold)
     gone, repeats, rank = fresh(docs, "gone_id"), fresh(docs, "again_id"), fresh(docs, "rank_of_row")
-    dropped = settle(groups(sets, pairs).where("first <> doc_id").select(F.col("doc_id").alias(gone)))
+    dropped = settle(ngram_jaccard_join(docs, n, threshold).where("class_id <> doc_id").select(F.col("doc_id").alias(gone)))
     own = F.col("doc_id").cast("long")
     kept = docs.join(dropped, own == F.col(gone), "left_anti")
     repeated = docs.select(own.alias(repeats)).where(F.col(repeats).isNotNull()).groupBy(repeats).count().where("count > 1").select(repeats)
     if repeated.isEmpty():
         return kept
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]))
-    again = kept.join(repeated, own == F.col(repeats), "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
+    order = F.struct(F.col("text").isNull(), F.col("text"), F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = kept.join(repeated, own == F.col(repeats), "left_semi").groupBy(own.alias(repeats)).agg(F.min_by(whole, order).alias(rank)).select(f"{rank}.*")
     return kept.join(repeated, own == F.col(repeats), "left_anti").unionByName(again)
 
 
 ORACLE = f"""
-WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ws
-  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(min(text)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ws
+  FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id
 ), g AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < {N} THEN [array_to_string(ws, ' ')]
     ELSE list_transform(range(1, len(ws) - {N} + 2), lambda i: array_to_string(ws[i:i + {N} - 1], ' ')) END) AS gram
@@ -382,9 +452,12 @@ WITH w AS (
 o AS (
   SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS overlap
   FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2
-)
-SELECT doc_a, doc_b, CAST(overlap AS BIGINT) AS overlap, CAST(x.n + y.n - overlap AS BIGINT) AS n_union,
-  round(overlap / (x.n + y.n - overlap), 6) AS jaccard
-FROM o JOIN s x ON x.doc_id = doc_a JOIN s y ON y.doc_id = doc_b
-WHERE overlap >= {THRESHOLD} * (x.n + y.n - overlap) - 1e-9
+), p AS (
+  SELECT doc_a, doc_b FROM o JOIN s x ON x.doc_id = doc_a JOIN s y ON y.doc_id = doc_b
+  WHERE overlap >= {THRESHOLD} * (x.n + y.n - overlap) - 1e-9
+), e AS (SELECT doc_a AS u, doc_b AS v FROM p UNION ALL SELECT doc_b, doc_a FROM p),
+c AS (SELECT DISTINCT u AS root, u AS node FROM e UNION SELECT root, v FROM c JOIN e ON u = node)
+SELECT w.doc_id, coalesce(first, w.doc_id) AS class_id, coalesce(links, 0) AS n_links FROM w
+LEFT JOIN (SELECT root, min(node) AS first FROM c GROUP BY root) ON root = w.doc_id
+LEFT JOIN (SELECT u, count(*) AS links FROM e GROUP BY u) ON u = w.doc_id
 """
