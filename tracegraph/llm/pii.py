@@ -5,19 +5,22 @@ a token's shape and the words before it, chain potentials join neighbouring toke
 to the next one in the document, however far, that repeats it or has the same digits. Loopy belief
 propagation (sum-product, ROUNDS parallel rounds) passes messages over both kinds of edge, so a number named once as an account
 or card is labelled the same where it stands alone. A token without a digit or @ is OTHER by the model (its
-potential for other labels is zero); such tokens pass constant messages, so leaving them out of the graph is exact.
+potential for other labels is zero), but for the value that a password, key or the like is set to; such tokens pass constant messages, so leaving them out of
+the graph is exact. Names and addresses of people in words are thus not looked for.
 
 The weights are fitted here, by pseudo-likelihood, on generated labelled token sequences; nothing is taken from the corpus.
 Found spans are replaced by their label in brackets.
 
 Defined results: null text stays null with 0 entities; empty text stays empty; null doc_ids stay; rows that repeat are treated
-alike; other columns are kept by the filter and not read; an empty table gives an empty result.
+alike; where labels tie the first in LABELS is taken, a half of OTHER counts as OTHER; very long texts are read whole, in time that grows with
+their length; other columns are kept by the filter and not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +33,17 @@ from .common import fresh, importable
 LABELS = ["OTHER", "EMAIL", "IP", "PHONE", "CARD", "ID", "SECRET"]
 OTHER, EMAIL, IP, PHONE, CARD, ID, SECRET = range(7)
 ROUNDS = 10
-TOKEN = re.compile(r"\S*[0-9@]\S*")
+MARK = re.compile(r"[0-9@]")
+SPACE = re.compile(r"\s|\Z")
+#: a value that is set and needs no digit: anything after =, or in quotes, or after the colon of a password
+NAMES = ("password", "passwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key")
+NAMED = re.compile(r"""\b(?:password|passwd|passphrase|secret|token|api[_-]?key)["']?\s?(?:=\s?["']?|:\s?["'])([^\s"',;]{6,})|\b(?:password|passwd|passphrase)["']?\s?:\s?([^\s"',;]{6,})""", re.I)
+#: shapes of several tokens that follow each other
+RUNS = {
+    "card": re.compile(r"(?<![\d-])\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?![\d-])"),
+    "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    "phone": re.compile(r"(?:\+|\b00)\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,6}|(?<!\d )\b0\d(?:[ .]\d\d){4}\b(?! \d)"),
+}
 CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.DOTALL)
 SHAPES = {
     "email": re.compile(r"[^\s@]+@[\w-]+(?:\.[\w-]+)+", re.I),
@@ -42,6 +55,8 @@ SHAPES = {
     "area": re.compile(r"\(\d{2,4}\)"),
     "local": re.compile(r"\d{3}-\d{4}"),
     "phone": re.compile(r"\+?\d{1,3}?[-.]?\(?\d{3}\)?[-.]\d{3}[-.]\d{4}"),
+    "iban": re.compile(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}"),
+    "prefixed": re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_\w{30,}|sk[-_](?:(?:live|test|proj)[-_])?\w{16,}|xox[abprs]-[\w-]{10,}|eyJ[\w-]{10,}\.[\w.-]+"),
     "ssn": re.compile(r"\d{3}-\d{2}-\d{4}"),
     "card": re.compile(r"(?:\d{4}[- ]?){3}\d{4}"),
     "four": re.compile(r"\d{4}"),
@@ -63,15 +78,29 @@ CONTEXT = {
 
 @lru_cache(1)
 def feature_names() -> dict[str, int]:
-    names = [f"shape:{s}" for s in SHAPES] + [f"near:{c}" for c in CONTEXT] + [f"digits:{k}" for k in range(13)] + [f"joined:{s}:{c}" for s in ("digits", "key") for c in CONTEXT]
-    return {n: k for k, n in enumerate([*names, "bias", "at", "equals", "mixed", "before:country", "before:area"])}
+    names = [f"shape:{s}" for s in SHAPES] + [f"near:{c}" for c in CONTEXT] + [f"digits:{k}" for k in range(18)] + [f"joined:{s}:{c}" for s in ("digits", "key") for c in CONTEXT]
+    return {n: k for k, n in enumerate([*names, "bias", "at", "equals", "mixed", "before:country", "before:area", "letters", *(f"run:{r}" for r in RUNS)])}
+
+
+def _marked(text: str) -> list[tuple[int, int]]:
+    """(start, end) of what lies between white space and has a digit or @; each character is looked at a few times at most."""
+    found, end = [], 0
+    for m in MARK.finditer(text):
+        start = m.start()
+        if start < end:
+            continue
+        while start > end and not text[start - 1].isspace():
+            start -= 1
+        end = SPACE.search(text, m.end()).start()
+        found.append((start, end))
+    return found
 
 
 def tokens(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, core) of the tokens with a digit or @; what surrounds a core is left out of the span."""
+    """(start, end, core) of the tokens with a digit or @ and of named values; what surrounds a core is left out of the span."""
     found = []
-    for m in TOKEN.finditer(text):
-        t = m.group()
+    for start, end in _marked(text):
+        t = text[start:end]
         c = CORE.search(t)
         if not c:
             continue
@@ -85,9 +114,17 @@ def tokens(text: str) -> list[tuple[int, int, str]]:
         at = a
         for part in cut:
             at = t.index(part, at) if part else at
-            if any(x.isdigit() or x == "@" for x in part):
-                found.append((m.start() + at, m.start() + at + len(part), part))
+            if MARK.search(part):
+                found.append((start + at, start + at + len(part), part))
             at += len(part)
+    lower = text.lower()
+    if any(n in lower for n in NAMES):
+        taken = {k for a, b, _ in found for k in (a, b)}
+        for m in NAMED.finditer(text):
+            a, b = m.span(1 if m[1] else 2)
+            if not MARK.search(text, a, b) and a not in taken and b not in taken:
+                found.append((a, b, text[a:b]))
+        found.sort()
     return found
 
 
@@ -95,8 +132,9 @@ def features(text: str, found: list[tuple[int, int, str]]) -> list[list[int]]:
     """Active features of each token."""
     names = feature_names()
     out, last = [], None
+    spans = _runs(text, found)
     for start, end, core in found:
-        own = [names["bias"], names[f"digits:{min(12, sum(c.isdigit() for c in core) // 2)}"]]
+        own = [names["bias"], names[f"digits:{min(17, sum(c.isdigit() for c in core))}"]]
         shapes = [s for s, r in SHAPES.items() if r.fullmatch(core)]
         own += [names[f"shape:{s}"] for s in shapes]
         before = text[max(0, start - 40) : start]
@@ -105,6 +143,7 @@ def features(text: str, found: list[tuple[int, int, str]]) -> list[list[int]]:
         own += [names[f"near:{c}"] for c in near]
         own += [names[f"joined:{s}:{c}"] for s in ("digits", "key") if s in shapes for c in near]
         own += [names["at"]] * ("@" in core) + [names["equals"]] * ("=" in words) + [names["mixed"]] * (any(c.isalpha() for c in core))
+        own += [names["letters"]] * (not MARK.search(core)) + [names[f"run:{r}"] for r in spans.get(start, ())]
         if last and start - last[1] <= 2:
             own += [names[f"before:{s}"] for s in ("country", "area") if SHAPES[s].fullmatch(last[2])]
         out.append(own)
@@ -112,6 +151,26 @@ def features(text: str, found: list[tuple[int, int, str]]) -> list[list[int]]:
     return out
 
 
+def _runs(text: str, found: list[tuple[int, int, str]]) -> dict[int, list[str]]:
+    """Start of a token to the RUNS that it is part of, where several tokens follow each other."""
+    out: dict[int, list[str]] = {}
+    k = 0
+    while k < len(found):
+        m = k
+        while m + 1 < len(found) and found[m + 1][0] - found[m][1] <= 2:
+            m += 1
+        if m > k or RUNS["phone"].match(found[k][2]):
+            a = found[k][0]
+            run, starts = text[a : found[m][1]], [f[0] - a for f in found[k : m + 1]]
+            for name, shape in RUNS.items():
+                for x in shape.finditer(run):
+                    for start, end, _ in found[k + bisect_left(starts, x.start()) : k + bisect_left(starts, x.end())]:
+                        if end - a <= x.end():
+                            out.setdefault(start, []).append(name)
+        k = m + 1
+    return out
+
+
 def edges(found: list[tuple[int, int, str]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Chain edges of tokens next to each other; skip edges to the next repeated or similar token."""
     chain = [(i, i + 1) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= 2]
@@ -138,14 +197,13 @@ def generated(n: int = 2500, seed: int = 11) -> list[tuple[str, dict[int, int]]]
     key = lambda: "".join(r.choice("abcdefghijkABCDEFGHIJK0123456789") for _ in range(r.randint(20, 40)))
     out = []
     for _ in range(n):
-        text, truth, kept = "", {}, []
+        text, regions, kept = "", [], []
 
         def put(token: str, label: int) -> None:
             nonlocal text
             start = len(text)
             text += token + " "
-            for a, _, _ in tokens(text[start:]):
-                truth[start + a] = label
+            regions.append((start, len(text), label))
 
         for _ in range(r.randint(2, 9)):
             for _ in range(r.randint(1, 5)):
@@ -157,21 +215,32 @@ def generated(n: int = 2500, seed: int = 11) -> list[tuple[str, dict[int, int]]]
                 put(ip(), IP)
             elif k == 4 or k == 5:
                 text += r.choice(["", "", "call ", "phone: "])
-                for part in r.choice([["+1", f"({d(3)})", f"{d(3)}-{d(4)}"], [f"+{d(2)}", d(3), f"{d(3)}-{d(4)}"], [f"{d(3)}-{d(3)}-{d(4)}"], [f"({d(3)})", f"{d(3)}-{d(4)}"]]):
+                for part in r.choice([["+49", d(r.randint(2, 4)), d(r.randint(5, 8))], [f"+{d(2)}", d(1), d(2), d(2), d(2), d(2)], [f"00{d(2)}", d(2), d(3), d(4)], ["0" + d(1), d(2), d(2), d(2), d(2)], ["+1", f"({d(3)})", f"{d(3)}-{d(4)}"], [f"+{d(2)}", d(3), f"{d(3)}-{d(4)}"], [f"{d(3)}-{d(3)}-{d(4)}"], [f"({d(3)})", f"{d(3)}-{d(4)}"]]):
                     put(part, PHONE)
             elif k == 6 or k == 7:
                 text += r.choice(["", "", "card ", "visa "])
-                c = r.choice([d(16), d(16), "-".join(d(4) for _ in range(4))])
-                kept.append((c, CARD))
-                put(c, CARD)
+                c = r.choice([d(16), d(16), "-".join(d(4) for _ in range(4)), None])
+                if c:
+                    kept.append((c, CARD))
+                    put(c, CARD)
+                else:
+                    for _ in range(4):
+                        put(d(4), CARD)
             elif k == 8 or k == 9:
                 text += r.choice(["", "ssn ", "passport ", "account "])
-                c = r.choice([d(9), d(9), f"{d(3)}-{d(2)}-{d(4)}"])
-                kept.append((c, ID))
-                put(c, ID)
+                c = r.choice([d(9), d(9), f"{d(3)}-{d(2)}-{d(4)}", f"{word()[:2].upper()}{d(20)}", None])
+                if c:
+                    kept.append((c, ID))
+                    put(c, ID)
+                else:
+                    for part in [f"{word()[:2].upper()}{d(2)}", *(d(4) for _ in range(4)), d(2)]:
+                        put(part, ID)
             elif k == 10 or k == 11:
                 text += r.choice(["token = ", "secret = ", "key: ", "password = ", ""])
-                put(r.choice([f'"{hexes()}"', hexes(), f'"{key()}"']), SECRET)
+                put(r.choice([f'"{hexes()}"', hexes(), f'"{key()}"', "AKIA" + "".join(r.choice("ABCDEFGH234567") for _ in range(16)), "ghp_" + key() + key()]), SECRET)
+            elif k == 14:
+                text += r.choice(["password = ", "password: ", "secret = ", "token = "])
+                put(r.choice([word() + word(), (word() + word()).title() + "!", f'"{word()}{word()}{d(2)}"', word() + d(4)]).rjust(6, "x"), SECRET)
             elif k == 12 and kept:
                 put(*r.choice(kept))
             elif k == 13:
@@ -179,9 +248,13 @@ def generated(n: int = 2500, seed: int = 11) -> list[tuple[str, dict[int, int]]]
                 c = d(r.randint(6, 12))
                 kept.append((c, ID))
                 put(c, ID)
+            elif k == 15:  # years, rows of numbers
+                for _ in range(r.choice([2, 3, 5, 6])):
+                    put(r.choice(["19", "20"]) + d(2) if r.random() < 0.5 else d(r.randint(1, 4)), OTHER)
+                text += word() + " "
             else:
                 put(r.choice([d(1), d(2), d(3), d(4), d(5), d(6), "20" + d(2), f"{d(1)}.{d(1)}", f"{d(1)}.{d(1)}.", f"${d(2)}.{d(2)}", f"{d(2)}%", f"v{d(1)}.{d(1)}.{d(1)}", f"20{d(2)}-0{r.randint(1, 9)}-1{d(1)}", f"1{d(1)}:{r.randint(10, 59)}", f"{word()}{d(2)}", f"{d(2)}th", f"{d(1)},{d(3)}", f"@{word()}", f"{d(3)}.{d(2)}", d(8)]), OTHER)
-        out.append((text, truth))
+        out.append((text, {a: next((label for lo, hi, label in regions if lo <= a < hi), OTHER) for a, _, _ in tokens(text)}))
     return out
 
 
@@ -315,10 +388,10 @@ def _redactor(crf: Crf):
 
 
 def _redacted(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a struct; only texts with a digit or @ go to Python, for others it is null."""
+    """docs with a struct; only texts with a digit, an @ or the name of a secret go to Python, for others it is null."""
     importable(docs.sparkSession)
     text = F.col("text").cast("string")
-    return docs.withColumn(name, _redactor(model())(F.when(text.rlike("[0-9@]"), text)))
+    return docs.withColumn(name, _redactor(model())(F.when(text.rlike("[0-9@]") | F.lower(text).rlike("passw|passphrase|secret|token|api[_-]?key"), text)))
 
 
 def redact(docs: DataFrame) -> DataFrame:
