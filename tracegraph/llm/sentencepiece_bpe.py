@@ -3,11 +3,11 @@
 Every unit of a text starts as its characters. An agenda holds the adjacent pairs that are pieces, best score
 first and the leftmost of equal ones; the pair taken is merged, the pairs with its new neighbours join
 the agenda, and entries whose symbols have changed since are passed over. Characters that are no piece
-become their bytes. Each batch's new units are encoded by the sentencepiece library too, and a document is marked
-as agreeing when all its units do; ids are decoded again and compared with the text.
+become their bytes. Each document of an Arrow batch is encoded whole by the sentencepiece library too and marked
+as agreeing when the ids are the same; its ids are decoded again and compared with the text (a literal mark comes back as a space, so such a text is no round trip).
 
-Defined results: null text gives null ids and counts; an empty text no ids; rows that repeat are
-encoded alike; rows without a doc_id are kept with a null id; other columns are not read; an empty table gives an empty result.
+Defined results: null text gives null ids and counts; an empty text no ids; of pairs with equal scores the leftmost is merged first; very long texts are encoded whole;
+rows that repeat are encoded alike; rows without a doc_id are kept with a null id; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import importable
-from .pieces import MARK, MODEL, MOST, UNIT, by_library, library, load, normal
+from .pieces import MARK, MODEL, MOST, UNIT, library, load, normal
 
 NOTHING = -(1 << 40)  #: past the end of a unit
 SCHEMA = "doc_id long, n_tokens int, ids array<int>, library_agrees boolean, round_trip boolean"
@@ -38,8 +39,6 @@ class Codec:
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == p.BYTE}
         self.bytes_of = {i: p.piece.encode() for i, p in enumerate(proto.pieces) if p.type == p.NORMAL} | {i: bytes([b]) for b, i in self.byte.items()}
         self.known: dict[str, bytes] = {}
-        self.disagree: set[str] = set()
-        self.changed: set[str] = set()
         self.width = len(proto.pieces)
         self.char_ids = -2 - np.arange(0x110000, dtype=np.int64)  # a character that is no piece
         for p, (_, i) in self.score.items():
@@ -150,23 +149,18 @@ class Codec:
         return np.split(out[out != NOTHING], np.cumsum(length)[:-1])
 
     def learn(self, units: set[str]) -> None:
-        """Works out new units and holds them against the library and against their text."""
+        """Works out new units."""
         new = list(units.difference(self.known))
         if len(self.known) + len(new) > MOST:
-            self.known, self.disagree, self.changed = {}, set(), set()
+            self.known = {}
             new = list(units)
-        for unit, ids, theirs in zip(new, self.encode_units(new), by_library(library(self.path), new)):
+        for unit, ids in zip(new, self.encode_units(new)):
             if len(ids) and ids.min() < 0:
                 flat: list[int] = []
                 for i in ids.tolist():
                     flat.extend([i] if i >= 0 else [self.byte[b] for b in chr(-2 - i).encode("utf-8", "surrogatepass")])
                 ids = np.array(flat)
-            data = ids.astype(np.int32).tobytes()
-            self.known[unit] = data
-            if ids.tolist() != theirs:
-                self.disagree.add(unit)
-            if b"".join(map(self.bytes_of.__getitem__, theirs if unit not in self.disagree else ids.tolist())) != unit.encode("utf-8", "surrogatepass"):
-                self.changed.add(unit)
+            self.known[unit] = ids.astype(np.int32).tobytes()
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
@@ -181,23 +175,26 @@ def codec(path: str) -> Codec:
 
 def _arrow(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c, sp = codec(path), library(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                cut = [None if t is None else UNIT.findall(normal(t)) if t else [] for t in batch.column("text").to_pylist()]
+                texts = batch.column("text").to_pylist()
+                cut = [None if t is None else UNIT.findall(normal(t)) if t else [] for t in texts]
                 units: set[str] = set()
                 for own in cut:
                     units.update(own or ())
                 c.learn(units)
                 known = c.known.__getitem__
+                theirs = sp.encode([t or "" for t in texts], num_threads=1)
                 flat, ends, agrees, back = [], [0], [], []
-                for own in cut:
+                for text, own, other in zip(texts, cut, theirs):
                     data = b"".join(map(known, own or ()))
                     flat.append(data)
                     ends.append(ends[-1] + len(data) // 4)
-                    agrees.append(None if own is None else not c.disagree or c.disagree.isdisjoint(own))
-                    back.append(None if own is None else not c.changed or c.changed.isdisjoint(own))
+                    ids = np.frombuffer(data, dtype=np.int32).tolist()
+                    agrees.append(None if text is None else ids == other)
+                    back.append(None if text is None else c.decode(ids) == text)
                 values = pa.array(np.frombuffer(b"".join(flat), dtype=np.int32))
                 none = pa.array([x is None for x in cut])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=none) if len(cut) else pa.array([], pa.list_(pa.int32()))
@@ -218,9 +215,9 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, text) of (doc_id, ids); null ids give a null text."""
     importable(encoded.sparkSession)
 
-    def run(batches):
+    @F.pandas_udf("string")
+    def run(ids: pd.Series) -> pd.Series:
         c = codec(model)
-        for pdf in batches:
-            yield pdf.assign(text=[None if x is None else c.decode(x) for x in pdf["ids"]])[["doc_id", "text"]]
+        return pd.Series([None if x is None else c.decode(x) for x in ids])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInPandas(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), run("ids").alias("text"))
