@@ -1,14 +1,13 @@
 """Operator 7, cost-balanced packing of documents into training sequences.
 
-A document's tokens are counted with the piece file (`pack_counted`, what the query and the pipeline run) or, where the caller
-wants no tokenizer, guessed from its bytes (`pack`); its cost is estimated as LINEAR·tokens + QUADRATIC·tokens² (projections and attention).
-Documents are spread over groups by a hash of their id, as many groups as the corpus has tokens for, so a group's size doesn't
-grow with the corpus. In a group, descending by cost, each document goes to the sequence of lowest cost
+A document's tokens are counted with the piece file over its whole text; its cost is estimated as LINEAR·tokens + QUADRATIC·tokens² (projections and attention).
+Documents are dealt to groups by a hash of their id and of their row in the table of counts, as many groups as the corpus has tokens for, so a group's size doesn't
+grow with the corpus, nor with how often an id or a text repeats. In a group, descending by cost, each document goes to the sequence of lowest cost
 that still has room for its tokens; a new sequence is opened when none has. A document of more tokens than a sequence holds is cut into
 pieces of full sequences and a rest, so all of it is packed.
 
 Defined results: null and empty texts have no tokens and are in no sequence; ties go to the smaller id, piece and then
-sequence; rows that repeat are packed as often as they occur; a null doc_id is packed under a null id; other columns are not
+sequence; rows that repeat are packed as often as they occur; a null doc_id is packed under a null id; very long texts are counted whole; other columns are not
 read; an empty table gives an empty result.
 """
 
@@ -29,11 +28,10 @@ from .common import importable, settle
 from .pieces import MODEL, MOST, UNIT, by_library, library, normal
 
 CAPACITY = 4096  #: tokens of a sequence
-BYTES_PER_TOKEN = 2.5  #: of the public 32k piece vocabulary on such prose; only where tokens aren't counted
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 GROUP_TOKENS = 64 * CAPACITY  #: tokens in a group, about
 FILL = 0.97  #: share of capacity that the first sequences of a group are reckoned with
-SCHEMA = "seq_id long, doc_id long, piece int, tokens long, cost double"
+SCHEMA = "seq_id long, doc_id long, unnamed boolean, piece int, tokens long, cost double"
 
 
 def cost(tokens):
@@ -61,29 +59,17 @@ def pack_group(tokens: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 
 def _pack(capacity: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable", na_position="last")
+        pdf = pdf.sort_values(["tokens", "unnamed", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable")
         at = pack_group(pdf["tokens"].to_numpy(), capacity)
         _, number = np.unique(at, return_inverse=True)  # sequences that stayed empty have no number
-        return pdf.assign(seq_id=(int(pdf["bucket"].iloc[0]) << 24) + number, cost=cost(pdf["tokens"].astype(float)))[["seq_id", "doc_id", "piece", "tokens", "cost"]]
+        return pdf.assign(seq_id=(int(pdf["bucket"].iloc[0]) << 24) + number, cost=cost(pdf["tokens"].astype(float)))[["seq_id", "doc_id", "unnamed", "piece", "tokens", "cost"]]
 
     return run
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, tokens) with no piece longer than capacity."""
-    n = F.ceil(F.octet_length(F.col("text").cast("string")) / F.lit(BYTES_PER_TOKEN)).cast("long")
-    return _cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n")).where("n > 0"), capacity)
-
-
 def _cut(own: DataFrame, capacity: int) -> DataFrame:
-    cut = own.select("doc_id", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int"))).alias("piece"))
-    return cut.select("doc_id", "piece", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * F.lit(capacity).cast("long")).alias("tokens"))
-
-
-def pack(docs: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """(seq_id, doc_id, piece, tokens, cost) of every document with text, tokens guessed from bytes."""
-    importable(docs.sparkSession)
-    return _placed(pieces(docs, capacity), capacity, group_tokens)
+    cut = own.select("doc_id", "row", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int"))).alias("piece"))
+    return cut.select("doc_id", "row", "piece", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * F.lit(capacity).cast("long")).alias("tokens"))
 
 
 @lru_cache(2)
@@ -110,16 +96,18 @@ def _counts(path: str):
     return run
 
 
-def pack_counted(docs: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, model: str = MODEL) -> DataFrame:
-    """(seq_id, doc_id, piece, tokens, cost) of every document with text, tokens counted over whole texts; texts are read once."""
+def pack(docs: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, model: str = MODEL) -> DataFrame:
+    """(seq_id, doc_id, piece, tokens, cost) of every document with text; texts are read once."""
     importable(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = settle(own.mapInArrow(_counts(model), "doc_id long, n long").where("n > 0"))
+    counted = settle(own.mapInArrow(_counts(model), "doc_id long, n long").where("n > 0").withColumn("row", F.monotonically_increasing_id()))
     return _placed(_cut(counted, capacity), capacity, group_tokens)
 
 
 def _placed(cut: DataFrame, capacity: int, group_tokens: int) -> DataFrame:
     total = cut.agg(F.sum("tokens")).first()[0] or 0
     groups = max(1, math.ceil(total / group_tokens))
-    placed = cut.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "piece"), F.lit(groups)))
-    return placed.groupBy("bucket").applyInPandas(_pack(capacity), SCHEMA)
+    placed = cut.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "row", "piece"), F.lit(groups)))
+    # a null would turn a group's ids into floats
+    named = placed.select("bucket", F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("unnamed"), "piece", "tokens")
+    return named.groupBy("bucket").applyInPandas(_pack(capacity), SCHEMA).select("seq_id", F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"), "piece", "tokens", "cost")
