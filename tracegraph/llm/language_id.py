@@ -5,11 +5,13 @@ else a space); document frequencies are counted over all documents. A multinomia
 regression is trained on documents with a language label by follow-the-regularised-leader (FTRL-proximal, one rate for each
 weight, L1 and L2 penalties, so most weights are exactly zero), then a temperature that minimises the loss on
 held-out labelled rows divides its scores. Only the fit is bounded: it uses about MAX_TRAIN labelled documents, of each language its share
-but LEAST_TRAIN at least (or all it has), those of the smallest hash of doc_id and text; their texts count whole. Every
-language that labels a text with a letter is in the model at every size.
+but LEAST_TRAIN at least (or all it has), those of the smallest hash of doc_id and text; rows that repeat whole count once. Their texts count whole, but only their
+counts of FEATURES come to the driver, so their length doesn't matter. Every
+language that labels a text with a letter is in the model at every size; over MOST_LANGUAGES of them are refused, as labels are then no languages.
 
 Defined results: a null, empty or letterless text has predicted and confidence null and is rejected; without any
-labelled text there is no model, nothing is predicted and every document is accepted; null doc_ids stay
+labelled text there is no model, nothing is predicted and every document is accepted; of languages as probable the first by name is predicted, and a
+confidence of exactly MIN_CONFIDENCE is accepted; very long texts count whole; null doc_ids stay
 null; rows that repeat are judged alike; other columns are not read (the filter keeps them); an empty table gives an empty result.
 """
 
@@ -32,6 +34,7 @@ MAX_TRAIN = 3000  #: bound of the labelled rows that the classifier is fitted on
 LEAST_TRAIN = 50  #: labelled rows of a language that are taken however rare it is
 HELD_OUT = 5  #: every fifth of a language's calibrates the temperature
 MIN_CONFIDENCE = 0.5
+MOST_LANGUAGES = 2000  #: weights are FEATURES for each
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.001, 3
 
 
@@ -56,8 +59,7 @@ def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return found, counts[found]
 
 
-def _vector(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at, n = ngram_counts(text)
+def _vector(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = (1 + np.log(n)) * idf[at] if len(at) else np.empty(0)
     norm = math.sqrt(float(x @ x))
     return (at, x / norm) if norm > 0 else (at[:0], x[:0])
@@ -99,7 +101,7 @@ class Model:
     temperature: float
 
     def probabilities(self, text: str | None) -> np.ndarray | None:
-        at, x = _vector(text, self.idf)
+        at, x = _vector(*ngram_counts(text), self.idf)
         return _softmax(x @ self.weights[at] / self.temperature) if len(at) else None
 
 
@@ -119,15 +121,15 @@ def _temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return math.exp((lo + hi) / 2)
 
 
-def fit(rows: list[tuple[int | None, str, str]], documents: int, frequency: np.ndarray) -> Model | None:
-    """Model of (doc_id, lang, text) rows; frequency: documents with each feature."""
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], documents: int, frequency: np.ndarray) -> Model | None:
+    """Model of (lang, features, counts) in the order of learning before it is shuffled; frequency: documents with each feature."""
     idf = np.log((1 + documents) / (1 + frequency)) + 1
-    languages = sorted({lang for _, lang, _ in rows})
+    languages = sorted({lang for lang, _, _ in rows})
     if not languages:
         return None
-    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
     rng = np.random.default_rng(7)
-    examples = [(*_vector(text, idf), languages.index(lang)) for _, lang, text in rows]
+    number = {lang: k for k, lang in enumerate(languages)}
+    examples = [(*_vector(at, n, idf), number[lang]) for lang, at, n in rows]
     examples = [e for e in examples if len(e[0])]
     held, own, seen = [], [], [0] * len(languages)
     for e in examples:
@@ -159,26 +161,36 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     totals = {r["feature"]: r["n"] for r in counted.groupBy("feature").agg(F.sum("n").alias("n")).collect()}
     documents = totals.get(-1, 0)
     frequency = np.array([totals.get(k, 0) for k in range(FEATURES)], dtype=float)
-    return fit([tuple(r) for r in sample(docs, max_train).collect()], documents, frequency)
+    rows = sample(docs, max_train).mapInPandas(_counted, "hash long, lang string, features binary, counts binary").orderBy("hash", "lang", "features").collect()
+    return fit([(r["lang"], np.frombuffer(r["features"], np.int64), np.frombuffer(r["counts"], np.int64)) for r in rows], documents, frequency)
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        found = [ngram_counts(text) for text in pdf["text"]]
+        yield pd.DataFrame({"hash": pdf["hash"], "lang": pdf["lang"], "features": [at.tobytes() for at, _ in found], "counts": [n.astype(np.int64).tobytes() for _, n in found]})
 
 
 def sample(docs: DataFrame, max_train: int = MAX_TRAIN, least: int = LEAST_TRAIN) -> DataFrame:
-    """(doc_id, lang, text) of the labelled rows with a letter that the fit takes.
+    """(hash, lang, text) of the labelled rows with a letter that the fit takes.
 
     The rows of smallest hash of each language, up to its quota. Only rows under a bound are sorted: about twice the quota, and the smallest hash.
     """
-    spread, number = 1 << 62, fresh(docs, "rank_of_row")
+    spread, number = 1 << 62, "rank_of_row"
     labelled = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    labelled = labelled.withColumn("hash", F.pmod(F.xxhash64("doc_id", "text"), F.lit(spread)))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("hash").alias("low")).collect()
+    labelled = labelled.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(spread)).alias("hash"), "lang", "text")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("hash").alias("low")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} language labels")
     total = sum(r["n"] for r in counts)
     limits = []
     for r in counts:
         quota = min(r["n"], max(least, math.ceil(max_train * r["n"] / total)))
         limits.append((r["lang"], quota, max(r["low"], min(spread, spread * 2 * quota // r["n"]))))
     quotas = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, quota long, bound long"))
-    few = labelled.join(quotas, "lang").where("hash <= bound").withColumn(number, F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id", "text")))
-    return few.where(F.col(number) <= F.col("quota")).select("doc_id", "lang", "text")
+    few = labelled.join(quotas, "lang").where("hash <= bound").dropDuplicates(["lang", "hash"])
+    few = few.withColumn(number, F.row_number().over(Window.partitionBy("lang").orderBy("hash")))
+    return few.where(F.col(number) <= F.col("quota")).select("hash", "lang", "text")
 
 
 def judge(model: Model | None, min_confidence: float = MIN_CONFIDENCE):
