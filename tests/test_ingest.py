@@ -7,12 +7,13 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import tree
 
 from tracegraph.operators import findings as fd
-from tracegraph.plans import ingest, validate
+from tracegraph.plans import ingest, registry, validate
 
 
 @pytest.fixture(scope="module")
@@ -100,3 +101,52 @@ def test_empty_and_missing(spark, tmp_path):
         ingest.ingest(spark, str(tmp_path))
     with pytest.raises(Exception):
         ingest.ingest(spark, str(tmp_path / "nowhere"))
+
+
+def test_decisions_of_many_files(spark):
+    """No file of many is left out; of several that declare one decision the last in order of paths wins."""
+    rows = [(f"specs/architecture/a{k:05d}.md", f"# A\n\n### ADR-{k}: decision {k}\n### ADR-7: seventh of {k}\n### ADR-7: again\n") for k in range(2500)]
+    docs = spark.createDataFrame(rows, "path string, text string")
+    found = {r["id"]: r["name"] for r in ingest.declared_last(docs, r"ADR-\d+").collect()}
+    assert len(found) == 2500 and found["ADR-2499"] == "decision 2499" and found["ADR-7"] == "seventh of 2499"
+
+
+def test_version_of_a_name_is_that_of_the_last_document(spark):
+    fields = lambda kind, version: {k: {"key": k, "is_list": False, "scalar": v, "items": [v]} for k, v in (("document_type", kind), ("version", version))}
+    rows = [("a/BC-INDEX.md", "BC-INDEX.md", "", fields("index", "1.9")), ("b/BC-INDEX.md", "BC-INDEX.md", "", fields("index", "1.10")), ("c/S-1.01.md", "S-1.01.md", "See BC-INDEX v1.10 and BC-INDEX v1.11.", fields("story", ""))]
+    docs = spark.createDataFrame(rows, "path string, base string, body string, fields map<string,struct<key:string,is_list:boolean,scalar:string,items:array<string>>>")
+    cites = {r["cited"]: r["verdict"] for r in ingest.prose(docs)[1].collect()}
+    assert cites == {"1.10": "current", "1.11": "ahead-never-existed"}
+
+
+def test_unknown_types_of_any_number_are_found(spark):
+    docs = spark.range(120_000).selectExpr("concat('p', id) AS path", "'' AS body", "map('document_type', named_struct('key', 'document_type', 'is_list', false, 'scalar', concat('t', id), 'items', array(''))) AS fields")
+    known = registry.Registry({"t5": registry.Kind()}, {"t6": "t5"}, unresolved=frozenset({"t7"}))
+    n = {r["rule"]: r["count"] for r in registry.gate(docs, known).groupBy("rule").count().collect()}
+    assert n["type.unknown"] == 119_998
+
+
+def test_registry_from_files(tmp_path):
+    (tmp_path / "types.yaml").write_text("types:\n  review:\n    required: [scope]\n    enums: {verdict: verdicts}\nrequired: [title]\n")
+    (tmp_path / "more.json").write_text('{"aliases": {"old-review": {"canonical": "review", "set": {"scope": "story"}}, "rev": "review"}, "enums": {"verdicts": {"values": ["ok"]}}, "unresolved": ["odd"]}')
+    r = registry.load(str(tmp_path))
+    assert r.resolve("old-review") == ("review", "alias") and r.implied("old-review") == {"scope": "story"} and r.implied("rev") == {}
+    assert r.required_for("review") == ["scope", "title"] and r.check_enum("verdicts", "no") == "illegal" and r.resolve("odd")[1] == "unresolved"
+    (tmp_path / "odd.yaml").write_text("typos: {}\n")
+    with pytest.raises(ValueError, match="typos"):
+        registry.load(str(tmp_path))
+
+
+def test_skip_is_reported_not_passed(spark, tables):
+    assert [tuple(r) for r in validate.skipped(tables, None).collect()] == [("the cross-zone gate was skipped", "the walled zone is not there", "skip", "")]
+    assert validate.skipped(tables, spark.createDataFrame([], "id string, target string")).collect() == []
+
+
+def test_strict_and_broken(spark, found):
+    now = spark.createDataFrame(found)
+    same = fd.compare(now, now)
+    assert fd.verdict(same, strict=True)[0] == fd.FAILED and fd.verdict(same)[0] == fd.PASSED
+    assert fd.judged(lambda: spark.table("nowhere_at_all"))[0] == fd.BROKEN and fd.judged(lambda: same)[0] == fd.PASSED
+    lines = [r["line"] for r in fd.report(now, now.withColumn("waiver", F.lit(None).cast("string"))).orderBy("ord").collect()]
+    assert lines[-1].startswith("PASS") and lines[0].startswith("new 0")
+    assert [r["line"] for r in fd.report(now, None).orderBy("ord").collect()][-1].startswith("FAIL")

@@ -64,15 +64,42 @@ def test_store(spark, tmp_path):
     assert store.as_of(1, "t").count() == 2 and store.as_of("main", "t").count() == 3 and store.resolve("wave")["parent"] == 2
     assert rows(versions.diff(store.as_of(1, "t"), store.as_of(2, "t"), ["k"])) == [(2, "modified", "v"), (3, "added", "")]
     assert store.history("t").where("k = 2").count() == 3 and [r["message"] for r in store.log().orderBy("commit").collect()] == ["first", "second", "branch"]
-    assert all(ok for _, ok, _ in store.doctor()) and not all(ok for _, ok, _ in snapshots.Store(spark, str(tmp_path / "none")).doctor())
+    assert all(ok for _, ok, _ in store.doctor({"t": "k int, v string"}, "me")) and not all(ok for _, ok, _ in snapshots.Store(spark, str(tmp_path / "none")).doctor())
     assert snapshots.columns_of(one, two.withColumn("k", F.col("k").cast("long")).withColumn("w", F.lit(1))) == [("k", "retyped", "int", "bigint"), ("w", "added", "", "int")]
 
 
+def test_two_writers_of_one_number(spark, tmp_path, monkeypatch):
+    store, other = (snapshots.Store(spark, str(tmp_path / "store")) for _ in range(2))
+    mine, theirs = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([(2,)], "k int")
+    old = other.commits()
+    assert store.publish({"t": mine}, "winner") == (1, True)
+    monkeypatch.setattr(other, "commits", lambda: old)  # as it saw the log before
+    with pytest.raises(snapshots.LostRace):
+        other.publish({"t": theirs}, "loser")
+    assert rows(store.as_of("main", "t")) == [(1,)] and [c["message"] for c in store.commits()] == ["winner"]
+    store._fs(str(tmp_path / "store/commits/.000000000002.claim"))[0].create(store._fs(str(tmp_path / "store/commits/.000000000002.claim"))[1]).close()
+    assert store.claims() == [2] and not dict((c, ok) for c, ok, _ in store.doctor())["half-published"]
+    with pytest.raises(snapshots.LostRace):
+        store.publish({"t": theirs}, "blocked")
+    assert store.release(2) and not store.release(1) and store.publish({"t": theirs}, "second") == (2, True)
+    assert store.publish({"t": theirs.withColumn("w", F.lit(1))}, "wave", "wave") == (3, True)
+    assert store.graduate("wave") == 4 and store.as_of("main", "t").columns == ["k", "w"]
+    assert rows(store.branches()) == [("main", 4, 3), ("wave", 3, 1)] and rows(store.migrations()) == [(4, "t", "w", "added", "", "int")]
+
+
 def test_files(spark, tmp_path):
     good, odd = tmp_path / "good.json", tmp_path / "odd.json"
     good.write_text('{"rule":"r","subject":"s","class":"c"}\n')
     odd.write_text('{"rule":"r","subject":"s","class":"c","waver":"x"}\n')
     assert files.baseline(spark, str(good)).count() == 1
+    whole, state = tmp_path / "whole.json", tmp_path / "state.json"
+    whole.write_text('{"note": "n", "generated": "2024-01-01",\n "findings": [{"rule":"r","subject":"s","class":"c","waiver":"w"},\n {"rule":"q","subject":"s","class":"c"}]}')
+    assert rows(files.baseline(spark, str(whole))) == [("q", "s", "c", None, None), ("r", "s", "c", None, "w")]
+    whole.write_text('{"findings": [{"rule":"r","subject":"s","class":"c","waver":"w"}], "notes": 1}')
+    with pytest.raises(ValueError, match="notes.*waver"):
+        files.baseline(spark, str(whole))
+    state.write_text('[\n {"ref": "a",\n "attempts": 2, "last_run": 3, "last_error": "x"},\n {"ref": "b", "attempts": 1, "last_run": 1, "last_error": "y"}\n]')
+    assert rows(files.retry_state(spark, str(state))) == [("a", 2, 3, "x"), ("b", 1, 1, "y")]
     with pytest.raises(ValueError, match="waver"):
         files.baseline(spark, str(odd))
     want = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, body string")

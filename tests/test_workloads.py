@@ -11,7 +11,7 @@ from compare import rows_of
 from tracegraph import workloads
 
 DATA = "/root/testdata/sf0.001"
-FAMILIES = ["joi01_dangling_edges", "joi02_index_enumeration", "joi04_one_directional", "joi09_full_chain", "joi14_count_claims", "joi16_baseline_diff", "agg03_dup", "agg10_pivot_eav", "agg18_percentiles", "agg22_auc", "win01_fill", "win07_streak", "src10_asof", "src13_diff", "src21_ranked_search", "wrt06_merge3", "qua03_plan", "gra07_degree", "gra09_scc", "rec01_reach", "rec04_closure", "txt08_tables", "txt16_findings", "txt32_cell_outcomes", "cri07_converged", "snk02_fk_split"]
+FAMILIES = ["joi01_dangling_edges", "joi02_index_enumeration", "joi04_one_directional", "joi09_full_chain", "joi14_count_claims", "joi16_baseline_diff", "agg03_dup", "agg10_pivot_eav", "agg18_percentiles", "agg22_auc", "win01_fill", "win07_streak", "src10_asof", "src13_diff", "src21_ranked_search", "wrt06_merge3", "qua03_plan", "gra07_degree", "gra09_scc", "rec01_reach", "rec04_closure", "txt08_tables", "txt16_findings", "txt32_cell_outcomes", "cri07_converged", "snk02_fk_split", "gate_scalar_refs", "gate_review_counts", "gra10_articulation", "gra13_pagerank", "snk08_centralities", "snk13_report", "bas03_verdict", "txt25_section_owners", "txt37_funnel"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")

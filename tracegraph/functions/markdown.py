@@ -233,7 +233,7 @@ def bracket_list(s: str) -> tuple[list[str], str] | None:
     return (split_list(m[1]), m[2].strip()) if m else None
 
 
-REFERENCE = re.compile(rf"{ID}|(?:VP|SS|DI|E|CAP)-\d+|S-\d+[.]\d+[\w.-]*", re.A)
+REFERENCE = re.compile(rf"{ID}|(?:VP|SS|DI|E|CAP)-\d+|S-\d+\.\d+[a-zA-Z0-9.-]*")
 
 
 def ids_in(members: list[str]) -> list[str]:

@@ -112,6 +112,12 @@ def degrees(graph: DataFrame) -> DataFrame:
     return ends.groupBy("e.type", "e.key").agg(F.sum("n").alias("degree_multi"), F.count("*").alias("degree_simple"))
 
 
+def centralities(pairs: DataFrame, betweenness: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(node, betweenness, pagerank, degree) of edges (src, dst); betweenness stays null where it was refused or not asked for."""
+    degree = pairs.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    return degree.join(betweenness.select("node", "betweenness"), "node", "left").join(ranks.select("node", "pagerank"), "node", "left").select("node", "betweenness", "pagerank", "degree")
+
+
 def scope(graph: DataFrame, seeds: DataFrame) -> DataFrame:
     """(type, key, seed) of the seeds and what is one edge away from them."""
     s = seeds.select("type", "key").distinct()

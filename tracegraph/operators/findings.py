@@ -72,7 +72,34 @@ def rebase(found: DataFrame, previous: DataFrame | None) -> DataFrame:
     return now.join(kept, IDENTITY, "left")
 
 
-def verdict(compared: DataFrame) -> tuple[int, dict[str, int]]:
-    """Exit code and counts: 0 nothing new, 1 something new."""
+PASSED, FAILED, BROKEN = 0, 1, 2
+
+
+def verdict(compared: DataFrame, strict: bool = False) -> tuple[int, dict[str, int]]:
+    """Exit code and counts: PASSED where nothing is new, FAILED where something is; strict counts what the baseline tolerates too."""
     counts = {r["status"]: r["n"] for r in compared.groupBy("status").agg(F.count("*").alias("n")).collect()}
-    return (1 if counts.get("new") else 0), counts
+    return (FAILED if counts.get("new") or (strict and counts.get("kept")) else PASSED), counts
+
+
+def judged(run, strict: bool = False) -> tuple[int, dict[str, int] | str]:
+    """verdict() of what run gives, or BROKEN and the reason where it can't give any: a check that could not be made is no pass and no failure."""
+    try:
+        return verdict(run(), strict)
+    except Exception as e:  # the answer
+        return BROKEN, f"{type(e).__name__}: {e}"[:500]
+
+
+def report(found: DataFrame, baseline: DataFrame | None, strict: bool = False, most: int = 20) -> DataFrame:
+    """(ord, line) of a report for people: counts, at most `most` of the fixed findings and how many more, all new ones, the verdict."""
+    compared = compare(found, baseline)
+    n = compared.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("new", "kept", "fixed")])
+    waived = baseline.where("waiver IS NOT NULL").agg(F.count("*").alias("waived")) if baseline is not None and "waiver" in baseline.columns else n.select(F.lit(0).cast("long").alias("waived"))
+    n = n.crossJoin(waived)
+    head = F.format_string("new %d, kept %d, fixed %d, waived %d", "new", "kept", "fixed", "waived") if baseline is not None else F.format_string("no baseline: all %d findings are new", "new")
+    every = F.concat_ws(" / ", "class", "rule", "subject")
+    fixed = compared.where("status = 'fixed'").orderBy("class", "rule", "subject").limit(most)  # what a reader is shown
+    line = lambda df, order, text: df.select(order.alias("ord"), text.alias("line"))
+    failed = F.col("new") > 0 if not strict else (F.col("new") + F.col("kept")) > 0
+    end = F.when(failed, F.format_string("FAIL: %d finding(s)", F.col("new") + (F.col("kept") if strict else F.lit(0)))).when(F.col("kept") > 0, F.format_string("PASS: %d finding(s) of the baseline are left", "kept")).otherwise("PASS: no findings")
+    parts = [line(n, F.lit("0"), head), line(fixed, F.concat_ws(" ", F.lit("1"), every), F.concat(F.lit("fixed "), every)), line(n.where(F.col("fixed") > most), F.lit("2"), F.format_string("and %d more", F.col("fixed") - most)), line(compared.where("status = 'new'"), F.concat_ws(" ", F.lit("3"), every), F.concat(F.lit("new "), every)), line(n, F.lit("4"), end)]
+    return union(parts)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 
 def cumulated(df: DataFrame, value: str, width: float = 256.0) -> DataFrame:
     """(value, n, before): rows of each value and of all smaller ones.
@@ -66,7 +68,7 @@ def ranked_search(docs: DataFrame, key: str, text: str, words: list[str], k1: fl
     """(key, score): documents that hold any of the words, by BM25. Counting is built in; the corpus figures are one row."""
     tokens = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     own = docs.select(F.col(key).alias(key), tokens.alias("tokens"))
-    own = own.select(key, F.size("tokens").alias("length"), *[F.size(F.filter("tokens", _is(w))).alias(f"f{k}") for k, w in enumerate(words)])
+    own = settle(own.select(key, F.size("tokens").alias("length"), *[F.size(F.filter("tokens", _is(w))).alias(f"f{k}") for k, w in enumerate(words)]))  # narrow; the texts are read once
     figures = own.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"f{k}") > 0).alias(f"d{k}") for k in range(len(words))])
     joined = own.where(" OR ".join(f"f{k} > 0" for k in range(len(words)))).crossJoin(F.broadcast(figures))
     score = F.lit(0.0)

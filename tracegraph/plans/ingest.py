@@ -22,7 +22,7 @@ from ..session import importable, settle
 BC, SS = md.ID, r"SS-\d+"
 KINDS = {"bc": ("specs/behavioral-contracts/", rf"(?i)^({BC})"), "vp": ("specs/verification-properties/", r"(?i)^(VP-\d+)"), "story": ("stories/", r"(?i)^(S-[\d.]+)")}
 INDEX, ARCH, PRD = "specs/behavioral-contracts/BC-INDEX.md", "specs/architecture/ARCH-INDEX.md", "specs/prd.md"
-NFR_CATALOG = "/".join(["phase-0-ingestion", "pass-4-nfr-catalog.md"])
+NFR_CATALOG = "phase-0-ingestion/pass-4-nfr-catalog.md"
 NFR = r"NFR-[A-Z]+-[0-9]+"
 UNIVERSES = {"cap": (["specs/domain-spec/capabilities.md"], r"CAP-\d+"), "di": (["specs/domain-spec/invariants.md"], r"DI-\d+"), "fr": ([PRD], r"FR-\d+"), "nfr": ([NFR_CATALOG, PRD], NFR)}
 #: edge table -> (owner kind, frontmatter key, id pattern, target table, column of the target)
@@ -93,15 +93,24 @@ def lines(docs: DataFrame, column: str = "text") -> DataFrame:
 
 
 def declared(docs: DataFrame, paths: list[str], pattern: str) -> DataFrame:
-    """(id, name) that headings, bold text or table rows of documents declare; the first in order of paths and lines wins."""
-    own = lines(docs.where(F.col("path").isin(paths))).withColumn("line", F.trim("line"))
-    shapes = [rf"^#+\s+({pattern})[:\s—-]*(.*)$", rf"^[*]{{2}}({pattern})\s*[—:-]*\s*(.*?)[*]{{2}}", rf"^[|]\s*[*]*({pattern})[*]*\s*[|](.*)$"]
-    pick = lambda g: F.coalesce(*[F.when(F.col("line").rlike(s), F.regexp_extract("line", s, g)) for s in shapes])
+    """(id, name) that headings, bold text or table rows of the documents at paths declare; the first in order of paths and lines wins."""
     order = F.array_position(F.array(*[F.lit(p) for p in paths]), F.col("path"))
-    found = own.select(pick(1).alias("id"), F.substring(F.trim(F.split_part(pick(2), F.lit("|"), F.lit(1))), 1, 400).alias("name"), order.alias("source"), "n").where("id IS NOT NULL")
+    found = _declarations(docs.where(F.col("path").isin(paths)), pattern).withColumn("source", order)
     return integrity.first_wins(found, ["id"], ["source", "n"]).select("id", "name")
 
 
+def declared_last(docs: DataFrame, pattern: str) -> DataFrame:
+    """(id, name) that any of docs declares: of several documents the last in order of paths, and its first line, wins."""
+    return _declarations(docs, pattern).groupBy("id").agg(F.max_by("name", F.struct("path", -F.col("n"))).alias("name"))
+
+
+def _declarations(docs: DataFrame, pattern: str) -> DataFrame:
+    own = lines(docs).withColumn("line", F.trim("line"))
+    shapes = [rf"^#+\s+({pattern})[:\s—-]*(.*)$", rf"^[*]{{2}}({pattern})\s*[—:-]*\s*(.*?)[*]{{2}}", rf"^[|]\s*[*]*({pattern})[*]*\s*[|](.*)$"]
+    pick = lambda g: F.coalesce(*[F.when(F.col("line").rlike(s), F.regexp_extract("line", s, g)) for s in shapes])
+    return own.select(pick(1).alias("id"), F.substring(F.trim(F.split_part(pick(2), F.lit("|"), F.lit(1))), 1, 400).alias("name"), "path", "n").where("id IS NOT NULL")
+
+
 def subsystems(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((id, bc_prefix, name), findings) from the architecture index, then folder names, then what contracts claim."""
     row = r"[|]\s*(SS-\d+)\s*[|]([^|]+)[|]\s*BC-(\d+)\s*[|]"
@@ -150,7 +159,7 @@ def prose(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(section references, version cites). Versions and section names of owners are looked up by the keys that documents mention,
     so a document is sent only the names it needs, not the names of the whole corpus."""
     own = docs.where(one("document_type") != "").select("path", one("document_type").alias("kind"), F.upper(F.regexp_replace("base", r"\.md$", "")).alias("name"), one("version").alias("version"), "body")
-    versions = own.where(F.col("version").rlike(r"^\d+\.\d+$")).groupBy("name").agg(F.max("version").alias("version"))
+    versions = own.where(F.col("version").rlike(r"^\d+\.\d+$")).groupBy("name").agg(F.max_by("version", "path").alias("version"))  # the last document of a name in order of paths
     short = F.regexp_extract("name", r"^((?:S|E|TD|CAP|DI|N?FR|VP|BC|ADR)-\d+(?:[.]\d+){0,2})(?:$|-)", 1)
     keys = own.select("path", "body", F.explode(F.array_distinct(F.array(short, F.col("name")))).alias("name")).where("name <> ''")
     single = keys.groupBy("name").agg(F.count_distinct("path").alias("owners"), F.min("path").alias("path")).where("owners = 1").select("name", "path")  # a key of two documents names neither
@@ -173,6 +182,15 @@ def prose(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.select("path", "kind", F.inline("x.refs")), found.select("path", "kind", F.inline("x.cites"))
 
 
+def reference_funnel(docs: DataFrame, refs: DataFrame, cites: DataFrame) -> DataFrame:
+    """(stage, n): all marks in the texts (body), those in code, and of the others the version cites and the section references by status."""
+    marks = F.size(F.regexp_extract_all("body", F.lit(r"(§|\b[A-Z][A-Z\d-]{2,}(?:\.md)?[ \t]+v\d+\.\d+)"), F.lit(1)))
+    n = docs.agg(F.coalesce(F.sum(marks), F.lit(0)).cast("long").alias("marks"))
+    n = n.crossJoin(cites.agg(F.count("*").alias("cites"))).crossJoin(refs.agg(F.count("*").alias("refs"), *[F.count_if(F.col("status") == s).alias(s) for s in ("resolved", "dangling", "unresolvable")]))  # one row each
+    stages = [("marks", F.col("marks")), ("in code", F.col("marks") - F.col("cites") - F.col("refs")), ("version cites", F.col("cites")), ("section references", F.col("refs")), *[(s, F.col(s)) for s in ("resolved", "dangling", "unresolvable")]]
+    return n.select(F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), c.alias("n")) for s, c in stages])).alias("x")).select("x.*")
+
+
 def ledgers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((path, field, ord, entry, date), findings of unbalanced brackets)."""
     own = docs.select("path", F.explode(F.map_values("fields")).alias("f")).select("path", F.col("f.key").alias("field"), F.col("f.scalar").alias("v"))
@@ -190,8 +208,7 @@ def ingest(spark: SparkSession, root: str, review_types: tuple[str, ...] = ("adv
     found: list[DataFrame] = []
     for kind, (paths, pattern) in UNIVERSES.items():
         t[kind] = declared(docs, paths, pattern)
-    adr = [r["path"] for r in docs.where(F.col("path").rlike(r"^specs/architecture/[^/]+\.md$")).select("path").orderBy("path").limit(1000).collect()]
-    t["adr"] = declared(docs, adr or [""], r"ADR-\d+")
+    t["adr"] = declared_last(docs.where(F.col("path").rlike(r"^specs/architecture/[^/]+\.md$")), r"ADR-\d+")
     t["epic"] = docs.where(F.col("path").startswith("stories/epics/")).select(F.regexp_extract("base", r"^(E-\d+)", 1).alias("id"), F.replace(F.regexp_extract("base", r"^E-\d+-?(.*)\.md$", 1), F.lit("-"), F.lit(" ")).alias("name")).where("id <> ''").dropDuplicates(["id"])
     t["subsystem"], late = subsystems(docs)
     t["census"], odd = census(docs)

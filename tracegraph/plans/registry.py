@@ -42,6 +42,7 @@ class Enum:
 class Registry:
     types: dict[str, Kind]
     aliases: dict[str, str] = field(default_factory=dict)
+    alias_fields: dict[str, dict[str, str]] = field(default_factory=dict)  #: alias to the fields that its name stood for
     unresolved: frozenset[str] = frozenset()
     enums: dict[str, Enum] = field(default_factory=dict)
     pins: dict[str, str] = field(default_factory=dict)
@@ -56,6 +57,10 @@ class Registry:
             return (to, "alias") if to in self.types else ("", "alias-target-missing")
         return "", "unresolved" if name in self.unresolved else "unknown"
 
+    def implied(self, name: str) -> dict[str, str]:
+        """Fields that an alias fixes, so that renaming a document to its type loses nothing."""
+        return self.alias_fields.get(name, {})
+
     def required_for(self, name: str) -> list[str]:
         """Fields a type needs; version, time and what its file name carries are left out."""
         kind = self.types[name]
@@ -73,6 +78,41 @@ class Registry:
         return self.pins.get(link, "as_of")
 
 
+def load(path: str) -> Registry:
+    """A registry of a YAML or JSON file, or of the files of a folder taken together.
+
+    types: name to required, retired, retired_fields, sections, enums, stage, key_source and key; aliases: name to a type, or to its canonical type and the
+    fields to set; enums: name to values, migrated and open; further unresolved, pins and required. A key that isn't one of these is refused.
+    """
+    from pathlib import Path
+
+    found: dict = {}
+    files = sorted(p for p in ([Path(path)] if Path(path).is_file() else Path(path).iterdir()) if p.suffix in (".yaml", ".yml", ".json"))
+    if not files:
+        raise ValueError(f"{path} holds no registry")
+    for p in files:
+        if p.suffix == ".json":
+            import json
+
+            part = json.loads(p.read_text())
+        else:
+            import yaml
+
+            part = yaml.safe_load(p.read_text()) or {}
+        for key, value in part.items():
+            if isinstance(value, dict):
+                found.setdefault(key, {}).update(value)
+            else:
+                found.setdefault(key, []).extend(value)
+    odd = set(found) - {"types", "aliases", "unresolved", "enums", "pins", "required"}
+    if odd:
+        raise ValueError(f"{path}: unknown keys {sorted(odd)}")
+    tuples = lambda x: {k: tuple(v) if isinstance(v, list) else v for k, v in (x or {}).items()}
+    aliases = {a: to if isinstance(to, dict) else {"canonical": to} for a, to in found.get("aliases", {}).items()}
+    enums = {k: Enum(frozenset(v.get("values", ())), v.get("migrated", {}), v.get("open", False)) for k, v in found.get("enums", {}).items()}
+    return Registry({k: Kind(**tuples(v)) for k, v in found.get("types", {}).items()}, {a: to["canonical"] for a, to in aliases.items()}, {a: to["set"] for a, to in aliases.items() if to.get("set")}, frozenset(found.get("unresolved", ())), enums, found.get("pins", {}), tuple(found.get("required", ())))
+
+
 def gate(docs: DataFrame, registry: Registry) -> DataFrame:
     """Findings over documents (path, body, fields) that have a document_type. An absent field is missing, a present one without a value empty.
 
@@ -80,9 +120,9 @@ def gate(docs: DataFrame, registry: Registry) -> DataFrame:
     """
     spark = docs.sparkSession
     typed = docs.select("path", "body", "fields", F.col("fields")["document_type"]["scalar"].alias("type")).where("coalesce(type, '') <> ''")
-    names = [r["type"] for r in typed.select("type").distinct().limit(100_000).collect()]
-    resolved = spark.createDataFrame([(n, *registry.resolve(n)) for n in names], "type string, kind string, status string")
-    own = typed.join(F.broadcast(resolved), "type")
+    known = sorted({*registry.types, *registry.aliases, *registry.unresolved})
+    resolved = spark.createDataFrame([(n, *registry.resolve(n)) for n in known], "type string, kind string, status string")
+    own = typed.join(F.broadcast(resolved), "type", "left").withColumns({"kind": F.coalesce("kind", F.lit("")), "status": F.coalesce("status", F.lit("unknown"))})
     subject = F.concat_ws(" -> ", "path", "type")
     parts = [
         fd.findings(own.where("status IN ('unknown', 'unresolved')"), "type.unknown", subject, "type"),

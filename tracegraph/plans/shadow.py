@@ -98,3 +98,12 @@ def check(docs: DataFrame, records: DataFrame, spec: Spec) -> tuple[DataFrame, D
     off = every.where(~F.col("outcome").isin("agree", "agree-casefold", "agree-set"))
     parts.append(fd.findings(off, F.concat(F.lit("shadow.cell."), F.col("outcome"), F.lit(":"), F.col("column")), F.concat_ws(" ", subject, F.col("column")), "shadow"))
     return fd.union(parts), every.groupBy("column", "outcome").agg(F.count("*").alias("n"))
+
+
+AGREE = ("agree", "agree-casefold", "agree-set")
+
+
+def agreement(outcomes: DataFrame, by: str = "column") -> DataFrame:
+    """(by, cells, agreement): the share, in percent, of the cells of outcomes (by, outcome, n) that agree; without a cell there is none."""
+    cells = F.sum("n").alias("cells")
+    return outcomes.groupBy(by).agg(cells, F.round(F.lit(100.0) * F.sum(F.when(F.col("outcome").isin(*AGREE), F.col("n")).otherwise(0)) / F.sum("n"), 1).alias("agreement"))

@@ -34,9 +34,9 @@ def index_enumeration(t: Tables) -> DataFrame:
     return integrity.enumeration(t["index_entry"], "id", t["bc"], "id")
 
 
-def dangling_edges(t: Tables) -> DataFrame:
+def dangling_edges(t: Tables, parents: dict[str, tuple[str, str]] = PARENTS) -> DataFrame:
     parts = []
-    for table, (owner, parent) in PARENTS.items():
+    for table, (owner, parent) in parents.items():
         parts += [integrity.dangling(t[table], "id", t[owner], "id", f"dangling {table}.id"), integrity.dangling(t[table], "target", t[parent], "id", f"dangling {table}.target")]
     return fd.union(parts)
 
@@ -78,9 +78,9 @@ def undeclared_traces(t: Tables) -> DataFrame:
     return fd.findings(refs.join(t["story_bc"].select("id", "target"), ["id", "target"], "left_anti"), "a criterion traces to a contract that its story doesn't declare", F.concat(F.col("id"), F.lit(" "), F.col("sub_id"), F.lit(" -> "), F.col("target")), "dangling")
 
 
-def sub_artifact_refs(t: Tables) -> DataFrame:
+def sub_artifact_refs(t: Tables, kinds: tuple[str, ...] = ("bc", "vp", "adr")) -> DataFrame:
     parts = []
-    for kind in ("bc", "vp", "adr"):
+    for kind in kinds:
         refs = t["sub_artifact_ref"].where(F.col("target_kind") == kind).select("id", "kind", "sub_id", F.col("target_id").alias("target")).distinct()
         lost = refs.join(t[kind].select(F.col("id").alias("target")), "target", "left_anti")
         parts.append(fd.findings(lost, F.concat(F.lit("a trace of a "), F.col("kind"), F.lit(f" names a missing {kind}")), F.concat(F.col("id"), F.lit(" "), F.col("sub_id"), F.lit(" -> "), F.col("target")), "dangling"))
@@ -110,17 +110,27 @@ def cross_zone(t: Tables, walled: DataFrame | None) -> tuple[DataFrame | None, s
     return fd.findings(refs.join(t["bc"].select(F.col("id").alias("target")), "target", "left_anti"), "a walled scenario names a missing contract", F.concat_ws(" -> ", "id", "target"), "cross-zone"), ""
 
 
+def skipped(t: Tables, walled: DataFrame | None) -> DataFrame:
+    """(rule, subject, class, detail) of gates that could not run: a skip is reported, and is neither a pass nor a finding."""
+    _, reason = cross_zone(t, walled)
+    rows = [("the cross-zone gate was skipped", reason, "skip", "")] if reason else []
+    return next(iter(t.values())).sparkSession.createDataFrame(rows, fd.SCHEMA)
+
+
 def validate(t: Tables, walled: DataFrame | None = None) -> DataFrame:
-    """Findings of every gate."""
+    """Findings of every gate; skipped() says which gates had nothing to run on."""
     parts = [gate(t) for gate in GATES]
     crossed, _ = cross_zone(t, walled)
     return fd.union([*parts, *([crossed] if crossed is not None else [])])
 
 
-def metrics(t: Tables) -> DataFrame:
+ROWS = ("bc", "vp", "story", "subsystem", "review", "sub_artifact", "prose_ref", "version_cite")
+
+
+def metrics(t: Tables, tables: tuple[str, ...] = ROWS, edges: tuple[str, ...] = tuple(PARENTS), owners: tuple[str, ...] = ("vp", "story")) -> DataFrame:
     """(name, n): rows by table, all edges, contracts without a property or a story."""
     count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-    rows = [count(k, t[k]) for k in ("bc", "vp", "story", "subsystem", "review", "sub_artifact", "prose_ref", "version_cite")]
-    edges = fd.union([count(k, t[k]) for k in PARENTS]).agg(F.sum("n").alias("n")).select(F.lit("edges").alias("name"), "n")
-    bare = [count(f"bc_without_{k}", t["bc"].join(t[f"{k}_bc"].select(F.col("target").alias("id")), "id", "left_anti")) for k in ("vp", "story")]
-    return fd.union([*rows, edges, *bare])
+    rows = [count(k, t[k]) for k in tables]
+    every = fd.union([count(k, t[k]) for k in edges]).agg(F.sum("n").alias("n")).select(F.lit("edges").alias("name"), "n")
+    bare = [count(f"bc_without_{k}", t["bc"].join(t[f"{k}_bc"].select(F.col("target").alias("id")), "id", "left_anti")) for k in owners]
+    return fd.union([*rows, every, *bare])

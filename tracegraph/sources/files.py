@@ -6,20 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BASELINE = "rule string, subject string, class string, detail string, waiver string"
+BASELINE_FIELDS = [c.split()[0] for c in BASELINE.split(", ")]
+HEADER = {"note", "generated", "fa_version", "corpus_path", "corpus_ref", "corpus_fingerprint", "counts"}  #: of a baseline document
 STATE = "ref string, attempts int, last_run int, last_error string"
 
 
 def baseline(spark: SparkSession, path: str) -> DataFrame:
-    """A baseline of JSON lines; a field that it shouldn't have is refused, as a misspelt waiver would be lost."""
+    """The findings of a baseline: a JSON document with a list of findings, or JSON lines; a field that it shouldn't have is refused, as a misspelt waiver would be lost."""
     known = {c.split()[0] for c in BASELINE.split(", ")}
-    odd = set(spark.read.json(path).columns) - known
+    whole = spark.read.option("multiLine", True).json(path)
+    if "findings" in whole.columns:
+        odd = set(whole.columns) - HEADER - {"findings"}
+        rows = whole.select(F.explode("findings").alias("f"))
+        fields = set(rows.schema["f"].dataType.names) if rows.schema["f"].dataType.typeName() == "struct" else set()
+        odd |= fields - known
+        found = rows.select(*[(F.col(f"f.{c}") if c in fields else F.lit(None)).cast("string").alias(c) for c in BASELINE_FIELDS])
+    else:
+        odd = set(spark.read.json(path).columns) - known
+        found = spark.read.schema(BASELINE).option("mode", "FAILFAST").json(path)
     if odd:
         raise ValueError(f"{path}: unknown fields {sorted(odd)}")
-    return spark.read.schema(BASELINE).option("mode", "FAILFAST").json(path)
+    return found
 
 
 def retry_state(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STATE).option("mode", "FAILFAST").json(path)
+    """A JSON list of states, over as many lines as it likes."""
+    return spark.read.schema(STATE).option("mode", "FAILFAST").option("multiLine", True).json(path)
 
 
 def records(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import criteria, graphs, relational, states, texts, windows  # noqa: F401
+from . import criteria, gates, graphs, more, relational, states, texts, windows  # noqa: F401
 from .base import ORACLE, QUERIES  # noqa: F401

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import kernels, project, traverse
@@ -84,8 +84,7 @@ _FOREST = "SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_part
 
 @query("gra11_waves", f"WITH RECURSIVE e AS ({_FOREST}), w AS (SELECT 1 AS node, 1 AS wave UNION ALL SELECT src, wave + 1 FROM w JOIN e ON dst = node) SELECT CAST(node AS BIGINT) AS node, wave FROM w")
 def waves(t: Tables):
-    e = forest(t)
-    return traverse.waves(e, e.select(F.col("src").alias("node")))[0]
+    return kernels.schedule(forest(t)).select(F.col("node").cast("long").alias("node"), F.col("wave").cast("int").alias("wave"))
 
 
 @query("gra15_diff", f"{_WITH}, a AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_shipdate < '1997-01-01'), b AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_shipdate >= '1993-01-01') SELECT *, 'added' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
@@ -101,17 +100,20 @@ def scope(t: Tables):
 
 
 @query("snk09_dot", f"""{_WITH}, s AS (SELECT 'nation' AS type, '3' AS key), r AS (SELECT type, key FROM s UNION SELECT dt, dk FROM e JOIN s ON st = type AND sk = key UNION SELECT st, sk FROM e JOIN s ON dt = type AND dk = key),
-a AS (SELECT r.*, (r.type, r.key) IN (SELECT (type, key) FROM n) AS declared FROM r)
+a AS (SELECT r.*, EXISTS (SELECT 1 FROM n WHERE n.type = r.type AND n.key = r.key) AS declared FROM r),
+inside AS (SELECT e.* FROM e SEMI JOIN r ON st = r.type AND sk = r.key SEMI JOIN r AS q ON dt = q.type AND dk = q.key)
 SELECT '0' AS ord, 'digraph g {{' AS line UNION ALL SELECT '3', '}}' UNION ALL SELECT '1 ' || type || ':' || key, '  "' || type || ':' || key || '"' || CASE WHEN declared THEN '' ELSE ' [style=dashed, color=red]' END || ';' FROM a
-UNION ALL SELECT '2 ' || concat_ws(':', st, sk, dt, dk, link), '  "' || st || ':' || sk || '" -> "' || dt || ':' || dk || '" [label="' || link || '"];' FROM e WHERE (st, sk) IN (SELECT (type, key) FROM r) AND (dt, dk) IN (SELECT (type, key) FROM r)""")
+UNION ALL SELECT '2 ' || concat_ws(':', st, sk, dt, dk, link), '  "' || st || ':' || sk || '" -> "' || dt || ':' || dk || '" [label="' || link || '"];' FROM inside""")
 def dot(t: Tables):
     seeds = t.spark.createDataFrame([("nation", "3")], "type string, key string")
     return project.dot(*typed(t), seeds)
 
 
-def small_cycles(t: Tables) -> DataFrame:
-    """(src, dst) over buckets of parts and suppliers, with cycles."""
-    return t.lineitem.where("l_quantity = 1 AND l_discount = 0.05").select((F.col("l_partkey") % 97).alias("src"), (F.col("l_suppkey") * 7 % 97).alias("dst")).where("src <> dst").distinct()
+def transitions(t: Tables) -> DataFrame:
+    """(src, dst): what kind of event of a user followed which, over all events; a graph with cycles, in as many components as there are users."""
+    own = t.events.withColumn("next", F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    node = lambda kind: F.concat_ws(":", "user_id", kind)
+    return own.where("next IS NOT NULL AND next <> event_type").select(node("event_type").alias("src"), node("next").alias("dst")).distinct()
 
 
 def supply(t: Tables) -> DataFrame:
@@ -121,28 +123,59 @@ def supply(t: Tables) -> DataFrame:
     return t.lineitem.select(F.when(back, supplier).otherwise(part).alias("src"), F.when(back, part).otherwise(supplier).alias("dst")).distinct()
 
 
-_SMALL = "SELECT DISTINCT l_partkey % 97 AS src, l_suppkey * 7 % 97 AS dst FROM lineitem WHERE l_quantity = 1 AND l_discount = 0.05 AND l_partkey % 97 <> l_suppkey * 7 % 97"
-_CLOSURE = f"WITH RECURSIVE e AS ({_SMALL}), c AS (SELECT src AS root, dst AS node FROM e UNION SELECT root, dst FROM c JOIN e ON node = src)"
+_SUPPLY = "SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN s ELSE p END AS src, CASE WHEN l_returnflag = 'R' THEN p ELSE s END AS dst FROM (SELECT l_returnflag, 'part:' || l_partkey AS p, 'supplier:' || l_suppkey AS s FROM lineitem)"
+_EVENTS = "SELECT DISTINCT user_id || ':' || event_type AS src, user_id || ':' || next AS dst FROM (SELECT user_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE next <> event_type"
+_CLOSURE = f"WITH RECURSIVE e AS ({_EVENTS}), c AS (SELECT src AS root, dst AS node FROM e UNION SELECT root, dst FROM c JOIN e ON node = src)"
+_BOTH_WAYS = f"WITH RECURSIVE d AS ({_EVENTS}), e AS (SELECT * FROM d UNION SELECT dst, src FROM d)"
 
 
-@query("gra09_scc", f"{_CLOSURE}, p AS (SELECT a.root, a.node FROM c a JOIN c b ON a.root = b.node AND a.node = b.root) SELECT CAST(root AS VARCHAR) AS node, min(CAST(node AS VARCHAR)) AS component FROM p GROUP BY 1 HAVING count(DISTINCT node) > 1")
+@query("gra09_scc", f"{_CLOSURE}, p AS (SELECT a.root, a.node FROM c a JOIN c b ON a.root = b.node AND a.node = b.root) SELECT root AS node, min(node) AS component FROM p GROUP BY 1 HAVING count(DISTINCT node) > 1")
 def scc(t: Tables):
-    return kernels.strong_components(small_cycles(t))
+    return kernels.strong_components(transitions(t))
+
+
+def ordering(t: Tables) -> DataFrame:
+    """(src, dst): a customer leads to its orders, an order to its lines; a tree for each customer, over all orders and line items."""
+    order = F.concat(F.lit("order:"), F.col("o_orderkey").cast("string"))
+    first = t.orders.select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("src"), order.alias("dst"))
+    line = F.concat_ws(":", F.lit("line"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    return first.union(t.lineitem.select(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")), line)).distinct()
 
 
-@query("gra10_articulation")
+@query("gra10_articulation", """WITH e AS (SELECT 'customer:' || o_custkey AS a, 'order:' || o_orderkey AS b FROM orders UNION SELECT 'order:' || l_orderkey, 'line:' || l_orderkey || ':' || l_linenumber FROM lineitem),
+d AS (SELECT node, count(*) AS n FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY 1) SELECT node FROM d WHERE n > 1""")
 def articulation(t: Tables):
+    """In a tree every node with two neighbours cuts; the SQL says that, the kernel finds it by search."""
+    return kernels.articulation_points(ordering(t))
+
+
+@query("gra10_articulation_supply")
+def articulation_supply(t: Tables):
     return kernels.articulation_points(supply(t))
 
 
-@query("gra12_betweenness")
+@query("gra12_betweenness", f"""WITH RECURSIVE e AS ({_EVENTS}), v AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+w AS (SELECT node AS root, node, 0 AS depth FROM v UNION ALL SELECT root, dst, depth + 1 FROM w JOIN e ON src = w.node WHERE depth < 5),
+m AS (SELECT root, node, min(depth) AS d, count(*) FILTER (WHERE depth = least) AS n FROM (SELECT *, min(depth) OVER (PARTITION BY root, node) AS least FROM w) GROUP BY 1, 2),
+b AS (SELECT x.node, sum(x.n * y.n / z.n) AS s FROM m x JOIN m y ON y.root = x.node JOIN m z ON z.root = x.root AND z.node = y.node WHERE x.d > 0 AND y.d > 0 AND x.d + y.d = z.d GROUP BY 1)
+SELECT v.node, round(coalesce(s, 0.0), 6) AS betweenness, CAST(NULL AS VARCHAR) AS refused FROM v LEFT JOIN b USING (node)""")
 def betweenness(t: Tables):
-    return kernels.betweenness_scores(supply(t), most=100_000)
+    return kernels.betweenness_scores(transitions(t)).withColumn("betweenness", F.round("betweenness", 6))
 
 
-@query("gra13_pagerank")
+_RANKS = 20
+
+
+@query("gra13_pagerank", f"""WITH RECURSIVE e AS ({_SUPPLY}), v AS (SELECT src AS node FROM e UNION SELECT dst FROM e), n AS (SELECT count(*) AS n FROM v),
+o AS (SELECT node, out FROM v LEFT JOIN (SELECT src AS node, count(*) AS out FROM e GROUP BY 1) USING (node)),
+r AS (SELECT 0 AS turn, node, 1.0 / n AS rank FROM v, n UNION ALL (
+  WITH now AS (SELECT turn, node, rank, out FROM r JOIN o USING (node) WHERE turn < {_RANKS}), lost AS (SELECT coalesce(sum(rank) FILTER (WHERE out IS NULL), 0.0) AS lost FROM now),
+  got AS (SELECT dst AS node, sum(rank / out) AS got FROM now JOIN e ON src = node GROUP BY 1)
+  SELECT turn + 1, now.node, 0.15 / n + 0.85 * (lost / n + coalesce(got, 0.0)) FROM now LEFT JOIN got ON got.node = now.node, n, lost))
+SELECT node, round(rank, 9) AS rank FROM r WHERE turn = {_RANKS}""")
 def pagerank(t: Tables):
-    return traverse.pagerank(supply(t)).select("node", F.round("rank", 9).alias("rank"))
+    """As many rounds as the SQL takes; the operator itself goes on to a tolerance."""
+    return traverse.pagerank(supply(t), tolerance=0.0, most=_RANKS).select("node", F.round("rank", 9).alias("rank"))
 
 
 @query("gra14_communities")
@@ -150,30 +183,37 @@ def communities(t: Tables):
     return kernels.community_labels(supply(t))
 
 
-@query("gra16_components", f"{_CLOSURE.replace('e AS (' + _SMALL + ')', 'd AS (' + _SMALL + '), e AS (SELECT * FROM d UNION SELECT dst, src FROM d)')} SELECT root AS node, least(root, min(node)) AS component FROM c GROUP BY root")
+@query("gra16_components", f"{_BOTH_WAYS}, c AS (SELECT src AS root, dst AS node FROM e UNION SELECT root, dst FROM c JOIN e ON node = src) SELECT root AS node, least(root, min(node)) AS component FROM c GROUP BY root")
 def components(t: Tables):
-    return traverse.components(small_cycles(t))
+    return traverse.components(transitions(t))
 
 
-@query("rec01_reach", f"WITH RECURSIVE e AS ({_FOREST}), c AS (SELECT src AS root, dst AS node, 1 AS depth FROM e WHERE src % 7 = 0 UNION SELECT root, dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 5) SELECT root, node, min(depth) AS depth FROM c GROUP BY 1, 2")
+@query("rec01_reach", f"WITH RECURSIVE e AS ({_FOREST}), c AS (SELECT src AS root, dst AS node, 1 AS depth FROM e UNION SELECT root, dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 5) SELECT root, node, min(depth) AS depth FROM c GROUP BY 1, 2")
 def reach(t: Tables):
     e = forest(t)
-    return traverse.reach(e, e.where("src % 7 = 0").select(F.col("src").alias("root")), 5)
+    return traverse.reach(e, e.select(F.col("src").alias("root")), 5)
+
+
+@query("rec02_terminates", f"{_CLOSURE} SELECT root, count(*) AS reached FROM c GROUP BY root")
+def terminates(t: Tables):
+    """What each node reaches, itself included only by a cycle; without a bound on depth."""
+    e = transitions(t)
+    return traverse.reach(e, e.select(F.col("src").alias("root"))).groupBy("root").agg(F.count("*").alias("reached"))
 
 
 @query("rec03_cycles", f"{_CLOSURE} SELECT DISTINCT node FROM c WHERE root = node")
 def cycles(t: Tables):
-    return traverse.on_cycles(small_cycles(t))
+    return traverse.on_cycles(transitions(t))
 
 
-@query("rec04_closure", f"WITH RECURSIVE e AS ({_SMALL}), c AS (SELECT src AS root, dst AS node, 1 AS depth FROM e UNION SELECT root, dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 8) SELECT root, node, min(depth) AS depth FROM c GROUP BY 1, 2")
+@query("rec04_closure", f"WITH RECURSIVE e AS ({_EVENTS}), c AS (SELECT src AS root, dst AS node, 1 AS depth FROM e UNION SELECT root, dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 8) SELECT root, node, min(depth) AS depth FROM c GROUP BY 1, 2")
 def closure(t: Tables):
-    return traverse.closure(small_cycles(t), 8)
+    return traverse.closure(transitions(t), 8)
 
 
-@query("rec04_paths", f"WITH RECURSIVE e AS ({_SMALL}), c AS (SELECT src AS root, dst AS node, 1 AS depth FROM e UNION ALL SELECT root, dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 4) SELECT root, node, count(*) AS paths FROM c GROUP BY 1, 2")
+@query("rec04_paths", f"WITH RECURSIVE e AS ({_EVENTS}), c AS (SELECT src AS root, dst AS node, 1 AS depth FROM e UNION ALL SELECT root, dst, depth + 1 FROM c JOIN e ON node = src WHERE depth < 4) SELECT root, node, count(*) AS paths FROM c GROUP BY 1, 2")
 def paths(t: Tables):
-    return traverse.path_counts(small_cycles(t), 4)
+    return traverse.path_counts(transitions(t), 4)
 
 
 @query("rec05_impact", f"WITH RECURSIVE e AS ({_FOREST}), c AS (SELECT dst AS root, src AS node, 1 AS depth FROM e WHERE dst IN (3, 5, 11) UNION ALL SELECT root, src, depth + 1 FROM c JOIN e ON node = dst) SELECT root, node, depth FROM c")

@@ -42,14 +42,14 @@ def scalar_refs(t: Tables):
     return integrity.scalar_reference(own, "p_partkey", "next", t.part, "p_partkey", "part.next -> part")
 
 
-_PAIRS = "SELECT DISTINCT l_partkey % 500 AS a, l_suppkey % 500 AS b, l_returnflag AS k FROM lineitem"
+_PAIRS = "SELECT DISTINCT l_partkey AS a, l_suppkey AS b, l_returnflag AS k FROM lineitem"
 
 
 @query("joi04_one_directional", f"""
 WITH d AS ({_PAIRS}) SELECT 'dependency recorded on one side only' AS rule, concat_ws(' ', CAST(a AS VARCHAR), k, CAST(b AS VARCHAR)) AS subject, 'direction' AS class, 'the reverse row is missing' AS detail
 FROM d WHERE NOT EXISTS (SELECT 1 FROM d r WHERE r.a = d.b AND r.b = d.a AND r.k <> d.k)""")
 def one_directional(t: Tables):
-    pairs = t.lineitem.select((F.col("l_partkey") % 500).alias("a"), (F.col("l_suppkey") % 500).alias("b"), F.col("l_returnflag").alias("k")).distinct()
+    pairs = t.lineitem.select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_returnflag").alias("k")).distinct()
     return integrity.one_directional(pairs, "a", "b", "k")
 
 
