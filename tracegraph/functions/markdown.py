@@ -199,7 +199,7 @@ def struck(s: str) -> bool:
 def without_id(title: str) -> str:
     """A title without the id in front of it."""
     kinds = r"(?:Behavioral Contract|Verification Property|Story)\s+"
-    ids = rf"(?:{ID}|(?:VP|E)-\d+|S-\d+[.]\d+[\w.-]*)"
+    ids = rf"(?:{ID}|(?:VP|E)-\d+|S-\d+\.\d+[a-zA-Z0-9.-]*)"
     return re.sub(rf"^\s*(?:{kinds})?{ids}\s*[:—-]\s*", "", title, flags=re.A).strip()
 
 

@@ -11,8 +11,8 @@ LEVEL_OF = {w: k for k, own in LEVELS.items() for w in own}
 WORDS = "(?:CRIT(?:ICAL)?|HIGH|MED(?:IUM)?|LOW|NIT(?:PICK)?|OBS)"
 FINDING_ID = rf"(?:ADV-\w+-P\d+\w*-{WORDS}-\d+|(?:F|CV|SEC|PG|{WORDS})[\dA-Z]*[-–][\w.\-]+|P\d+[a-zA-Z]?-\d+)"
 HEADING = re.compile(rf"#{{3,6}}\s+(?:\*\*|\*)?({FINDING_ID})\*{{0,2}}\s*[—–:|-]?\s*(.*)$", re.A)
-ROW = re.compile(rf"[|]\s*[*]*({FINDING_ID})\*{{0,2}}\s*(\|.+)$", re.A)
-INLINE = re.compile(rf"[*]{{0,2}}((?:F|{WORDS})-\d+)[*]*[ \t]*(?:[(][^)]*[)])?[ \t]*:[ \t]*(.+?)[*]*$")
+ROW = re.compile(rf"\|\s*\**({FINDING_ID})\*{{0,2}}\s*(\|.+)$", re.A)
+INLINE = re.compile(rf"\*{{0,2}}((?:F|{WORDS})-\d+)\**[ \t]*(?:[(][^)]*[)])?[ \t]*:[ \t]*(.+?)\**$")
 BULLET = re.compile(r"[ \t]*[*-][ \t]*([A-Z][a-zA-Z /]+):(.*)$")
 MENTION = re.compile(r"resolution status|(?:re-?|fix[- ])verification|(?:carried[- ]forward|closure audit)|(?:previous|prior)[- ]pass|pass-\d+ closure", re.I)
 OWNED = re.compile(r"part b|findings [(]this pass[)]|(?:fresh[- ]context|new findings)", re.I)
@@ -37,7 +37,7 @@ def owned_under(top: str) -> bool:
 
 def attribute(lines: list[str], i: int, key: str) -> str:
     """Value of key in the next lines, up to the next finding's heading."""
-    bold = re.compile(rf"\s*\*\*{re.escape(key)}:?[*]{{2}}:?\s*(.+)$", re.I)
+    bold = re.compile(rf"\s*\*\*{re.escape(key)}:?\*{{2}}:?\s*(.+)$", re.I)
     for j, line in enumerate(lines[i : i + AHEAD]):
         if j and HEADING.match(line):
             break
@@ -57,7 +57,7 @@ def severity(finding: str, statement: str, lines: list[str], i: int, section: st
     for j, line in enumerate(lines[i : i + AHEAD]):
         if j and HEADING.match(line):
             break
-        if m := re.search(rf"[*]{{2}}Severity:?[*]{{2}}:?[ \t]*[*]*\s*({WORDS})", line):
+        if m := re.search(rf"\*{{2}}Severity:?\*{{2}}:?[ \t]*\**\s*({WORDS})", line):
             return level(m[1]), "bold-line"
     if (m := re.fullmatch(r"ADV-\w+-P\d+\w*-([a-zA-Z]+)-\d+", finding)) and level(m[1]):
         return level(m[1]), "id-embedded-ADV"
@@ -128,7 +128,7 @@ def show_distribution(counts: dict[str, int]) -> str:
 
 SUB_ID = r"((?:EC|T)-\d+|PC-?\d+|AC-\d+[a-z]?)"
 SUB_HEADING = re.compile(rf"#{{2,6}}\s+\*{{0,2}}{SUB_ID}\*{{0,2}}\s*[:—–-]?\s*(.*)$")
-SUB_ROW = re.compile(rf"[|]\s*[*]*{SUB_ID}\*{{0,2}}\s*(\|.+)$")
+SUB_ROW = re.compile(rf"\|\s*\**{SUB_ID}\*{{0,2}}\s*(\|.+)$")
 TARGETS = {"bc": re.compile(rf"{md.ID}(?!\d|-[A-Za-z])"), "vp": re.compile(r"VP-\d+"), "adr": re.compile(r"ADR-\d+"), "fr": re.compile(r"FR-[\w.\-]+", re.A)}
 CLAUSE = re.compile(r"\b(inv(?:ariant)?|(?:post|pre)condition|[ep]c)[\s-]*(\d+)", re.I)
 GAP = re.compile(r"\[process-gap\]|\b(?:candidate|uncontracted|proposed|would need|does not exist|no existing)\b", re.I)
@@ -176,10 +176,10 @@ def sub_artifacts(body: str) -> tuple[list[dict], list[dict], int]:
 
 
 AMBIGUOUS = -2
-CITE = re.compile(r"\b([A-Z](?:[A-Z\d]|-){2,}(?:[.]md)?)[ \t]+v(\d+[.]\d+)")
+CITE = re.compile(r"\b([A-Z](?:[A-Z\d]|-){2,}(?:\.md)?)[ \t]+v(\d+\.\d+)")
 SECTION = re.compile(r"§\s*((?:\.\d|[^,;).]){2,60})")
 OWNER = re.compile(rf"{md.ID}|S-\d+\.\d+|(?:VP|E|ADR|SS)-\d+|[A-Z](?:[A-Z\d]|-){{2,}}-INDEX")
-ITEM = re.compile(r"((?:S|E|TD|ADR|VP|BC|DI|CAP|N?FR|[EAP]C)-\d+(?:[.]\d+){0,2})\b")
+ITEM = re.compile(r"((?:S|E|TD|ADR|VP|BC|DI|CAP|N?FR|[EAP]C)-\d+(?:\.\d+){0,2})\b")
 PINNED_KINDS = ("adversar", "review", "burst", "lesson", "checkpoint", "decision-log")
 
 
@@ -214,7 +214,7 @@ def item_sections(names: dict[str, int], body: str) -> dict[str, int]:
             elif not inside:
                 if m := ITEM.match(re.sub(r"^[\s>|*_+-]*", "", line)):
                     labels.append(m[1])
-                if m := re.match(r"[*]{2}([^*]{2,80})[*]{2}", re.sub(r"^[\s>|+-]*|`", "", line)):
+                if m := re.match(r"\*{2}([^*]{2,80})\*{2}", re.sub(r"^[\s>|+-]*|`", "", line)):
                     label = m[1].strip().rstrip(":")
                     labels += [label] * (len(label) >= 2)
         for x in labels:

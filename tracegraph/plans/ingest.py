@@ -106,14 +106,14 @@ def declared_last(docs: DataFrame, pattern: str) -> DataFrame:
 
 def _declarations(docs: DataFrame, pattern: str) -> DataFrame:
     own = lines(docs).withColumn("line", F.trim("line"))
-    shapes = [rf"^#+\s+({pattern})[:\s—-]*(.*)$", rf"^[*]{{2}}({pattern})\s*[—:-]*\s*(.*?)[*]{{2}}", rf"^[|]\s*[*]*({pattern})[*]*\s*[|](.*)$"]
+    shapes = [rf"^#+\s+({pattern})[:\s—-]*(.*)$", rf"^\*{{2}}({pattern})\s*[—:-]*\s*(.*?)\*{{2}}", rf"^\|\s*\**({pattern})\**\s*\|(.*)$"]
     pick = lambda g: F.coalesce(*[F.when(F.col("line").rlike(s), F.regexp_extract("line", s, g)) for s in shapes])
     return own.select(pick(1).alias("id"), F.substring(F.trim(F.split_part(pick(2), F.lit("|"), F.lit(1))), 1, 400).alias("name"), "path", "n").where("id IS NOT NULL")
 
 
 def subsystems(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((id, bc_prefix, name), findings) from the architecture index, then folder names, then what contracts claim."""
-    row = r"[|]\s*(SS-\d+)\s*[|]([^|]+)[|]\s*BC-(\d+)\s*[|]"
+    row = r"\|\s*(SS-\d+)\s*\|([^|]+)\|\s*BC-(\d+)\s*\|"
     index = lines(docs.where(F.col("path") == ARCH)).where(F.col("line").rlike(row)).select(F.regexp_extract("line", row, 1).alias("id"), F.regexp_extract("line", row, 3).cast("int").alias("bc_prefix"), F.trim(F.regexp_extract("line", row, 2)).alias("name"), F.lit(1).alias("source"), "n")
     number = F.regexp_extract("path", r"/ss-(\d+)[^/]*/", 1).try_cast("int")
     folder = docs.where(F.col("path").startswith(KINDS["bc"][0])).select(number.alias("bc_prefix")).where("bc_prefix IS NOT NULL").distinct().select(F.format_string("SS-%02d", "bc_prefix").alias("id"), "bc_prefix", F.format_string("SS-%02d", "bc_prefix").alias("name"), F.lit(2).alias("source"), F.lit(0).alias("n"))
@@ -138,7 +138,7 @@ def claims(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     index = docs.where(F.col("path") == INDEX)
     stated = index.select(F.lit("BC-INDEX frontmatter").alias("source"), F.lit("bc_total").alias("kind"), F.lit("").alias("subject"), one("total_bcs").alias("v"), F.lit(-1).alias("n")).where("v <> ''")
     own = lines(index, "body").withColumn("line", F.trim("line"))
-    shapes = [("BC-INDEX Total row", "bc_total", r"^[|]\s*[*]*Total[*]*\s*[|][^|]*[|]\s*[*]*([\d,]+)", None), ("BC-INDEX subsystem row", "bc_count_ss", r"^[|]\s*SS-\d+[^|]*[|]\s*BC-\d+\s*[|]\s*([\d,]+)", r"^\|\s*(SS-\d+)"), ("BC-INDEX section heading", "bc_count_ss", r"^#+\s+SS-\d+\b.*?—\s*([\d,]+)\s+BCs", r"(SS-\d+)")]
+    shapes = [("BC-INDEX Total row", "bc_total", r"^\|\s*\**Total\**\s*\|[^|]*\|\s*\**([\d,]+)", None), ("BC-INDEX subsystem row", "bc_count_ss", r"^\|\s*SS-\d+[^|]*\|\s*BC-\d+\s*\|\s*([\d,]+)", r"^\|\s*(SS-\d+)"), ("BC-INDEX section heading", "bc_count_ss", r"^#+\s+SS-\d+\b.*?—\s*([\d,]+)\s+BCs", r"(SS-\d+)")]
     parts = [stated]
     for source, kind, value, subject in shapes:
         parts.append(own.where(F.col("line").rlike(value)).select(F.lit(source).alias("source"), F.lit(kind).alias("kind"), (F.regexp_extract("line", subject, 1) if subject else F.lit("")).alias("subject"), F.regexp_extract("line", value, 1).alias("v"), "n"))
@@ -160,7 +160,7 @@ def prose(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     so a document is sent only the names it needs, not the names of the whole corpus."""
     own = docs.where(one("document_type") != "").select("path", one("document_type").alias("kind"), F.upper(F.regexp_replace("base", r"\.md$", "")).alias("name"), one("version").alias("version"), "body")
     versions = own.where(F.col("version").rlike(r"^\d+\.\d+$")).groupBy("name").agg(F.max_by("version", "path").alias("version"))  # the last document of a name in order of paths
-    short = F.regexp_extract("name", r"^((?:S|E|TD|CAP|DI|N?FR|VP|BC|ADR)-\d+(?:[.]\d+){0,2})(?:$|-)", 1)
+    short = F.regexp_extract("name", r"^((?:S|E|TD|CAP|DI|N?FR|VP|BC|ADR)-\d+(?:\.\d+){0,2})(?:$|-)", 1)
     keys = own.select("path", "body", F.explode(F.array_distinct(F.array(short, F.col("name")))).alias("name")).where("name <> ''")
     single = keys.groupBy("name").agg(F.count_distinct("path").alias("owners"), F.min("path").alias("path")).where("owners = 1").select("name", "path")  # a key of two documents names neither
     mentioned = own.select("path", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("body", F.lit(r"([A-Za-z][\w.-]*)"), F.lit(1)), lambda w: F.upper(F.regexp_replace(w, r"\.md$", ""))))).alias("name"))
