@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import codes, fresh, importable, letters
+from .common import codes, fresh, give_back, importable, letters, trimmed
 
 BITS = 14
 FEATURES = 1 << BITS
@@ -157,11 +157,11 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     """Counts over all documents, then the bounded fit on the driver."""
     importable(docs.sparkSession)
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(_frequencies, "feature long, n long")
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(trimmed(_frequencies), "feature long, n long")
     totals = {r["feature"]: r["n"] for r in counted.groupBy("feature").agg(F.sum("n").alias("n")).collect()}
     documents = totals.get(-1, 0)
     frequency = np.array([totals.get(k, 0) for k in range(FEATURES)], dtype=float)
-    rows = sample(docs, max_train).mapInPandas(_counted, "hash long, lang string, features binary, counts binary").orderBy("hash", "lang", "features").collect()
+    rows = sample(docs, max_train).mapInPandas(trimmed(_counted), "hash long, lang string, features binary, counts binary").orderBy("hash", "lang", "features").collect()
     return fit([(r["lang"], np.frombuffer(r["features"], np.int64), np.frombuffer(r["counts"], np.int64)) for r in rows], documents, frequency)
 
 
@@ -203,6 +203,7 @@ def judge(model: Model | None, min_confidence: float = MIN_CONFIDENCE):
             p = model.probabilities(text) if model else None
             k = None if p is None else int(p.argmax())
             out.append((None, None, model is None) if k is None else (model.languages[k], round(float(p[k]), 6), bool(p[k] >= min_confidence)))
+        give_back()
         return pd.DataFrame(out, columns=["predicted", "confidence", "accepted"])
 
     return run

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import codes, connected, documents_by_id, forest, fresh, importable, letters_or_digits, mix, settle
+from .common import codes, connected, documents_by_id, forest, fresh, give_back, importable, letters_or_digits, mix, settle, trimmed
 
 N = 3  #: words of an n-gram
 THRESHOLD = 0.5  #: least similarity of a pair; a changed word costs three trigrams, so an edited copy of a short text is well under 0.7
@@ -45,7 +45,7 @@ LEAST_BITS, MOST_BITS = 20, 24  #: of the number of counters for the order of co
 BYTES_PER_COUNTER = 512  #: of text
 PIECES = 64  #: rows that carry the counters of a partition
 ENTRIES_PER_BLOCK = 2_000_000  #: kept entries of A in a block of columns, about; in more blocks a pair is counted in more parts
-ENTRIES_AT_ONCE = 2_000_000  #: that a task holds before it packs them
+ENTRIES_AT_ONCE = 400_000  #: that a task holds before it packs them
 HOT = 10_000  #: rows of a column in a tile
 BLOCK_GRAMS = 100_000  #: entries of A in a block of rows while pairs are checked, about
 PAIRS_AT_ONCE = 1_000_000  #: of one block of columns held before they are added up or passed on
@@ -329,6 +329,8 @@ def _checked(n: int, t: float, as_pairs: bool):
             overlap[lo:hi] = np.add.reduceat(flag[theirs], np.r_[0, np.cumsum(length[b[lo:hi]])[:-1]])
             flag[mine] = 0
         alike = overlap >= t * (length[a] + length[b] - overlap) - 1e-9
+        del grams, ids, flag
+        give_back()
         a, b, overlap = a[alike], b[alike], overlap[alike]
         if as_pairs:
             return pd.DataFrame({"rep_a": docs[a], "rep_b": docs[b], "n_a": length[a].astype(np.int32), "n_b": length[b].astype(np.int32), "overlap": overlap.astype(np.int32)})
@@ -349,7 +351,7 @@ def _compared(docs: DataFrame, n: int, t: float, as_pairs: bool) -> tuple[DataFr
     own = one_text_each(docs)
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, size / BYTES_PER_COUNTER)))))
-    surveyed = settle(own.mapInPandas(_survey(n, bits), "piece int, data binary"))
+    surveyed = settle(own.mapInPandas(trimmed(_survey(n, bits)), "piece int, data binary"))
     meta = surveyed.where("piece < 0").mapInPandas(_unpack, "doc_id long, signature long, n int")
     reps = settle(meta.where("n > 0").groupBy("signature", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     counters = surveyed.where("piece >= 0").withColumn("turn", F.spark_partition_id() % 64)
@@ -358,8 +360,8 @@ def _compared(docs: DataFrame, n: int, t: float, as_pairs: bool) -> tuple[DataFr
     order = spark.sparkContext.broadcast(b"".join(bytes(x["data"]) for x in sorted(counters, key=lambda x: x["piece"])))
     total = reps.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, math.ceil(total * (1 - t) / ENTRIES_PER_BLOCK))
-    entries = own.mapInPandas(_entries(n, t, bits, blocks, order, HOT), "block long, signatures binary, sizes binary, columns binary, rows binary")
-    product = _product(t)
+    entries = own.mapInPandas(trimmed(_entries(n, t, bits, blocks, order, HOT)), "block long, signatures binary, sizes binary, columns binary, rows binary")
+    product = trimmed(_product(t))
 
     def block_product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return product(batches)

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import codes, fresh, importable, settle
+from .common import codes, fresh, give_back, importable, settle, trimmed
 
 CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "space": r" \t\r\n", "stop": r".,;:?'", "layout": r"|<>{}\[\]_\\~^"}  #: and a last class, anything else but digits
 DIGITS = r"\p{N}"
@@ -42,7 +42,7 @@ MAX_CLASS_DISTANCE = 0.175
 MAX_WORD_DISTANCE, MARGIN = 0.13, 1.16
 WORD_NOISE = MARGIN * math.sqrt(WORDS / (8 * math.log(2)))  #: over the root of the number of words
 MOST_BROADCAST = 10_000  #: languages
-MOST_HELD = 500_000  #: words that a task counts before it passes them on
+MOST_HELD = 60_000  #: words that a task counts before it passes them on
 
 
 @lru_cache(1)
@@ -100,6 +100,7 @@ def _histograms(texts: pd.Series, vocabularies: pd.Series) -> pd.DataFrame:
         found = words(text)
         bins = [found[w] for w in (vocabulary if vocabulary is not None else ())]
         out.append((class_counts(text), [*bins, found.total() - sum(bins)]))
+    give_back()
     return pd.DataFrame(out, columns=["classes", "words"])
 
 
@@ -128,7 +129,7 @@ def _text() -> Column:
 def references(docs: DataFrame) -> DataFrame:
     """(key, classes, vocabulary, words): for each language its counts by class, its common words, and their counts and that of all others."""
     importable(docs.sparkSession)
-    counts = docs.select(_key().alias("key"), _text().alias("text")).mapInPandas(_tallied, "key string, word string, n long")
+    counts = docs.select(_key().alias("key"), _text().alias("text")).mapInPandas(trimmed(_tallied), "key string, word string, n long")
     counts = settle(counts.groupBy("key", "word").agg(F.sum("n").alias("n")))
     is_class = F.col("word").rlike("^[0-9]$")
     ranked = counts.where(~is_class).withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= WORDS)
