@@ -16,7 +16,6 @@ from __future__ import annotations
 import math
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, settle
+from .common import give_back, importable, settle
 from .pieces import MODEL, MOST, UNIT, by_library, library, normal
 
 CAPACITY = 4096  #: tokens of a sequence
@@ -72,15 +71,10 @@ def _cut(own: DataFrame, capacity: int) -> DataFrame:
     return cut.select("doc_id", "row", "piece", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * F.lit(capacity).cast("long")).alias("tokens"))
 
 
-@lru_cache(2)
-def _lengths(path: str) -> dict[str, int]:
-    """Tokens of the units that a worker knows."""
-    return {}
-
-
 def _counts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sp = _lengths(path), library(path)
+        known: dict[str, int] = {}
+        sp = library(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -92,6 +86,8 @@ def _counts(path: str):
                     new = list(units)
                 known.update(zip(new, map(len, by_library(sp, new))))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sum(map(known.__getitem__, x)) for x in cut], pa.int64())], names=["doc_id", "n"])
+        known.clear()  # what a worker knows would stay in its memory while other stages run
+        give_back()
 
     return run
 
