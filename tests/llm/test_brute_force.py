@@ -409,6 +409,75 @@ def test_join_brute(spark, monkeypatch, limits):
     assert got == {k: v for k, v in expected.items() if k not in same} and same <= expected.keys() and len(expected) > 40
 
 
+@pytest.mark.parametrize("limits", [{}, {"TILE_ROWS": 4}, {"TILE_GRAMS": 100, "HOT": 3}, {"MOST_PLACED": 25}, {"MOST_PLACED": 1}])
+def test_join_brute_in_places(spark, monkeypatch, limits):
+    """Rows of large groups placed together, in one tile or many, all of them or only those of the largest group."""
+    for name, value in ({"LARGE": 2} | limits).items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = family(corpus())
+    docs = cases.documents(spark, rows)
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_jaccard_join(docs).collect()} == brute_classes(rows)
+    if limits.get("TILE_ROWS"):
+        sets, pairs = ngram_join.similar_sets(docs)
+        first = {r["rep"] for r in sets.collect()}
+        expected = {p: x[0] for p, x in brute_pairs(rows).items() if set(p) <= first}
+        assert {(p["rep_a"], p["rep_b"]): p["overlap"] for p in pairs.collect()} == expected
+
+
+def test_pairs_of_places_are_met_once():
+    """Lists of any length give each pair but those of one place, once."""
+    r = np.random.default_rng(3)
+    for m in (3, 40, 65, 150):
+        size, place = np.sort(r.integers(50, 160, m)), r.choice([-1, -1, 0, 0, 0, 1, 2], m)
+        got = [k for keys, w in ngram_join._met(np.arange(m), np.array([0]), np.array([m]), size, place, 0.5) for k in keys.tolist()]
+        assert sorted(got) == [a * m + b for a, b in combinations(range(m), 2) if size[a] >= 0.5 * size[b] and (place[a] < 0 or place[a] != place[b])]
+
+
+@pytest.mark.parametrize("dense", [0, 1, 4, 10**9])
+def test_tiles_count_overlaps(monkeypatch, dense):
+    monkeypatch.setattr(ngram_join, "DENSE", dense)
+    monkeypatch.setattr(ngram_join, "PAIRS_AT_ONCE", 50)
+    r = np.random.default_rng(1)
+    a, b = ([np.unique(r.zipf(1.3, 30) % 500).astype(np.uint64) for _ in range(n)] for n in (17, 23))
+    assert (ngram_join._overlaps(a, b) == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]).all()
+
+
+def test_large_group_of_near_copies(spark):
+    """Rows of one group by the thousand: pairs that share hundreds of columns aren't passed on one by one."""
+    r = random.Random(8)
+    base = [f"{r.choice(cases.WORDS['en'])}{k}" for k in range(300)]
+    rows = []
+    for k in range(3000):
+        words = list(base)
+        for at in r.sample(range(300), 12):
+            words[at] = f"w{k}"
+        rows.append(cases.row(k, " ".join(words)))
+    seen = spark.sparkContext.accumulator(0)
+    product = ngram_join._product
+
+    def counting(*args):
+        run = product(*args)
+
+        def inner(batches):
+            for part in run(batches):
+                seen.add(len(part))
+                yield part
+
+        return inner
+
+    ngram_join._product = counting
+    try:
+        found = ngram_join.ngram_jaccard_join(cases.documents(spark, rows)).collect()
+    finally:
+        ngram_join._product = product
+    sets = [frozenset(ngram_join.ngram_hashes(x[1]).tolist()) for x in rows]
+    links = {r["doc_id"]: r["n_links"] for r in found}
+    assert len(found) == 3000 and {r["class_id"] for r in found} == {0}
+    for k in (0, 1234, 2999):
+        assert links[k] == sum(len(sets[k] & s) >= 0.5 * len(sets[k] | s) - 1e-9 for s in sets) - 1
+    assert seen.value < 100 * 3000
+
+
 def test_counters_are_exact():
     counts = np.array([0, 255, 256, 70_000, 3, 9, 1, 2**33] * 8)
     data = ngram_join._encoded(counts)

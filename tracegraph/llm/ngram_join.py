@@ -17,6 +17,10 @@ in blocks of columns:
 4. The pairs left are counted over all columns. Rows that belong together are put in blocks
    of about BLOCK_GRAMS entries, and each pair of blocks that holds a pair to check gets its texts once.
 
+A large group of near copies has links by the square of its rows, each over hundreds of columns. Rows that share min-hash keys with LARGE others are
+therefore placed together first. Pairs within a place are left out of steps 2 to 4 and all compared, tile by tile, in products of dense matrices; every other pair
+takes the steps, so where rows are placed changes only the time.
+
 A pair of blocks gives each row's links and a forest of what it connects, not its pairs, so the result has a row for each document whatever the
 groups' sizes; similar_sets gives the pairs of different sets. No partner, candidate or column is capped. Hashes have 64 bits; until step 4, 32 bits of a column and of a signature are
 compared, and rows of one tile meet once for each of its pairs: all can only count too much, which step 4 puts right.
@@ -48,6 +52,11 @@ ENTRIES_PER_BLOCK = 2_000_000  #: kept entries of A in a block of columns, about
 ENTRIES_AT_ONCE = 400_000  #: that a task holds before it packs them
 HOT = 10_000  #: rows of a column in a tile
 BLOCK_GRAMS = 100_000  #: entries of A in a block of rows while pairs are checked, about
+LARGE = 100  #: rows that share a key, from which they are placed together
+BANDS, BAND = 8, 3  #: keys of a row, and min-hashes in each
+MOST_PLACED = 2_000_000  #: rows whose places are broadcast (40 MB), those of the largest groups; the others take the general way
+TILE_ROWS, TILE_GRAMS = 2_000, 1_000_000  #: of a place, in a tile
+DENSE = 64  #: a column is multiplied densely where at least one in so many pairs of a tile's rows meets in it
 PAIRS_AT_ONCE = 1_000_000  #: of one block of columns held before they are added up or passed on
 
 
@@ -103,6 +112,16 @@ def _signature(grams: np.ndarray) -> int:
     return int(s.view(np.int64)[0])
 
 
+def _keys(grams: np.ndarray) -> np.ndarray:
+    """Keys of a set, each of BAND min-hashes: of the first hashes from evenly spaced points on, in a circle."""
+    points = (np.arange(BANDS * BAND, dtype=np.uint64) * np.uint64((1 << 64) // (BANDS * BAND))).reshape(BANDS, BAND)
+    mins = grams[np.searchsorted(grams, points) % len(grams)]
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND):
+        keys = mix(keys ^ mins[:, k])
+    return keys.view(np.int64)
+
+
 def _prefix(n: int, t: float) -> int:
     return n - math.ceil(t * n - 1e-9) + 1
 
@@ -124,7 +143,7 @@ def _encoded(counts: np.ndarray) -> bytes:
 
 
 def _survey(n: int, bits: int):
-    """Batches of (doc_id, text) to packed (doc_id, signature, size) and, at the end, the counters over the partition's different sets."""
+    """Batches of (doc_id, text) to packed (doc_id, signature, size, keys) and, at the end, the counters over the partition's different sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << bits, dtype=np.int64)
@@ -134,7 +153,7 @@ def _survey(n: int, bits: int):
             for i, text in zip(pdf["doc_id"], pdf["text"]):
                 g = ngram_hashes(text, n)
                 key = (_signature(g) if len(g) else 0, len(g))
-                rows.append((i, *key))
+                rows.append((i, *key, *(_keys(g) if len(g) else [0] * BANDS)))
                 if len(g) and key not in seen:
                     seen.add(key)
                     buckets.append(g >> np.uint64(64 - bits))
@@ -151,8 +170,8 @@ def _survey(n: int, bits: int):
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for data in pdf["data"]:
-            a = np.frombuffer(data, dtype=np.int64).reshape(3, -1)
-            yield pd.DataFrame({"doc_id": a[0], "signature": a[1], "n": a[2].astype(np.int32)})
+            a = np.frombuffer(data, dtype=np.int64).reshape(3 + BANDS, -1)
+            yield pd.DataFrame({"doc_id": a[0], "signature": a[1], "n": a[2].astype(np.int32), "keys": list(a[3:].T.copy())})
 
 
 def _added(bits: int, last: bool):
@@ -223,8 +242,8 @@ def _entries(n: int, t: float, bits: int, blocks: int, order, hot: int):
     return run
 
 
-def _met(r: np.ndarray, first: np.ndarray, length: np.ndarray, size: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(pair, number of columns) of the rows r[first : first + length] that meet in a column and whose sizes fit; rows are numbered by size."""
+def _met(r: np.ndarray, first: np.ndarray, length: np.ndarray, size: np.ndarray, place: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(pair, number of columns) of the rows r[first : first + length] that meet in a column, whose sizes fit and whose places (-1: none) differ; rows are numbered by size."""
     for m in np.unique(length):
         lists = r[first[length == m][:, None] + np.arange(m)]
         lists, weight = np.unique(lists, axis=0, return_counts=True)  # columns with the same rows count together
@@ -234,19 +253,28 @@ def _met(r: np.ndarray, first: np.ndarray, length: np.ndarray, size: np.ndarray,
             for at in range(0, len(lists), step):
                 part, w = lists[at : at + step], weight[at : at + step]
                 a, b, w = part[:, i].ravel(), part[:, j].ravel(), np.repeat(w, len(i))
-                fits = size[a] >= t * size[b] - 1e-9
+                fits = (size[a] >= t * size[b] - 1e-9) & ((place[a] < 0) | (place[a] != place[b]))
                 yield a[fits] * len(size) + b[fits], w[fits]
         else:
             for part, w in zip(lists, weight):
+                own = place[part]
                 reach = np.searchsorted(size[part], size[part] / t + 1e-9, side="right")
-                for k in range(m - 1):
-                    b = part[k + 1 : reach[k]]
+                placed, rows = np.unique(own[own >= 0], return_counts=True)
+                main = placed[rows.argmax()] if len(placed) else -2
+                back = np.flatnonzero(own == main)  # these meet the others only
+                for k in np.flatnonzero(own != main).tolist():
+                    later = np.arange(k + 1, reach[k])
+                    b = part[later[(own[later] < 0) | (own[later] != own[k])]]
                     if len(b):
                         yield part[k] * len(size) + b, np.full(len(b), w)
+                    a = back[: np.searchsorted(back, k)]
+                    a = part[a[reach[a] > k]]
+                    if len(a):
+                        yield a * len(size) + part[k], np.full(len(a), w)
 
 
-def _product(t: float):
-    """One block of columns to the pairs of rows with entries in common, with counts, which may come in several parts."""
+def _product(t: float, places):
+    """One block of columns to the pairs of rows of different places with entries in common, with counts, which may come in several parts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signatures, sizes, rows, columns, shift = [], [], [], [], 0
@@ -272,6 +300,12 @@ def _product(t: float):
         length = np.diff(np.r_[first, len(c)])
         del keys, c
 
+        known = np.frombuffer(places.value, dtype=PLACED)
+        place = np.full(len(signature), -1, dtype=np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known["signature"], signature), len(known) - 1)
+            same = (known["signature"][at] == signature) & (known["n"][at] == size)
+            place[same] = known["place"][at[same]]
         half = (signature >> 32).astype(np.int32)  # with the size, enough to tell sets apart before the exact check
 
         def frames(k: np.ndarray, w: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -283,7 +317,7 @@ def _product(t: float):
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
-        for k, w in _met(r, first[length > 1], length[length > 1], size, t):
+        for k, w in _met(r, first[length > 1], length[length > 1], size, place, t):
             held.append((k, w))
             waiting += len(k)
             if waiting > PAIRS_AT_ONCE:
@@ -303,6 +337,7 @@ def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return pairs, np.bincount(back, weights=np.concatenate([w for _, w in held]), minlength=len(pairs)).astype(np.int64)
 
 
+PLACED = np.dtype([("signature", np.int64), ("n", np.int32), ("place", np.int32)])
 PAIRS = "rep_a long, rep_b long, n_a int, n_b int, overlap int"
 LINKS = "u long, v long, links long"
 
@@ -312,7 +347,7 @@ def _checked(n: int, t: float, as_pairs: bool):
 
     def run(pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         texts = texts.sort_values("doc_id")
-        docs, copies = texts["doc_id"].to_numpy(), texts["copies"].to_numpy()
+        docs, copies, place = texts["doc_id"].to_numpy(), texts["copies"].to_numpy(), texts["place"].to_numpy()
         grams = [ngram_hashes(x, n) for x in texts["text"]]
         length = np.array([len(g) for g in grams])
         _, ids = np.unique(np.concatenate(grams), return_inverse=True)
@@ -320,6 +355,10 @@ def _checked(n: int, t: float, as_pairs: bool):
         flag = np.zeros(int(ids.max()) + 1, dtype=np.int32)
         pairs = pairs.sort_values("doc_a")
         a, b = np.searchsorted(docs, pairs["doc_a"]), np.searchsorted(docs, pairs["doc_b"])
+        apart = place[a] != place[b]  # halves of signatures may bring back a pair that _tile counts
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return pd.DataFrame(columns=[x.split()[0] for x in (PAIRS if as_pairs else LINKS).split(", ")])
         cuts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
         overlap = np.empty(len(a), dtype=np.int64)
         for lo, hi in zip(cuts, np.r_[cuts[1:], len(a)]):
@@ -343,6 +382,114 @@ def _checked(n: int, t: float, as_pairs: bool):
     return run
 
 
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the sets a has in common with each of b: frequent ones by products of dense matrices, the others by pairs."""
+    shape = (len(a), len(b))
+    ids = np.unique(np.concatenate(a + b), return_inverse=True)[1]
+    cut = sum(map(len, a))
+    rows = [np.repeat(np.arange(len(x)), [len(g) for g in x]) for x in (a, b)]
+    columns = [ids[:cut], ids[cut:]]
+    width = int(ids.max()) + 1
+    often = [np.bincount(c, minlength=width) for c in columns]
+    met = often[0] * often[1]
+    found = np.zeros(shape, dtype=np.float32)
+    dense = np.flatnonzero(met * DENSE >= shape[0] * shape[1])
+    for at in range(0, len(dense), 2048):
+        number = np.full(width, -1)
+        number[dense[at : at + 2048]] = np.arange(len(dense[at : at + 2048]))
+        sides = []
+        for r, c, n in zip(rows, columns, shape):
+            side = np.zeros((n, len(dense[at : at + 2048])), dtype=np.float32)
+            k = number[c] >= 0
+            side[r[k], number[c[k]]] = 1
+            sides.append(side)
+        found += sides[0] @ sides[1].T
+    met[dense] = 0
+    order = np.argsort(columns[1], kind="stable")
+    theirs, first = rows[1][order], np.cumsum(often[1]) - often[1]
+    k = np.flatnonzero(met[columns[0]] > 0)
+    mine, column = rows[0][k], columns[0][k]
+    many = often[1][column]
+    parts = np.flatnonzero(np.diff(np.cumsum(many) // PAIRS_AT_ONCE, prepend=0)) if len(k) else []
+    for part in np.split(np.arange(len(k)), parts):
+        m = many[part]
+        place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[column[part]], m)
+        found += np.bincount(np.repeat(mine[part], m) * shape[1] + theirs[place], minlength=found.size).reshape(shape)
+    return found
+
+
+def _tile(n: int, t: float, as_pairs: bool):
+    """Two tiles of a place, or one with itself: all its pairs of rows, as PAIRS or LINKS."""
+
+    def run(key: tuple, texts: pd.DataFrame) -> pd.DataFrame:
+        _, low, high = key
+        texts = texts.sort_values("doc_id")
+        grams = [ngram_hashes(x, n) for x in texts["text"]]
+        tile = texts["tile"].to_numpy()
+        left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
+        columns = [x.split()[0] for x in (PAIRS if as_pairs else LINKS).split(", ")]
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=columns)
+        docs, copies, length = texts["doc_id"].to_numpy(), texts["copies"].to_numpy(), np.array([len(g) for g in grams])
+        overlap = _overlaps([grams[k] for k in left], [grams[k] for k in right])
+        alike = overlap >= t * (length[left][:, None] + length[right] - overlap.astype(np.float64)) - 1e-9
+        if low == high:
+            np.fill_diagonal(alike, False)
+        if as_pairs:
+            a, b = np.nonzero(np.triu(alike) if low == high else alike)
+            swap = left[a] > right[b]
+            x, y = np.where(swap, right[b], left[a]), np.where(swap, left[a], right[b])
+            return pd.DataFrame({"rep_a": docs[x], "rep_b": docs[y], "n_a": length[x].astype(np.int32), "n_b": length[y].astype(np.int32), "overlap": overlap[a, b].astype(np.int32)})
+        links = np.zeros(len(docs), dtype=np.int64)
+        links[left] = alike @ copies[right]
+        if low != high:
+            links[right] = copies[left] @ alike
+        u, v = [], []
+        new = [np.ones(len(left), dtype=bool), np.ones(len(right), dtype=bool)]
+        for root in range(len(left)):
+            if not new[0][root] or not alike[root].any():
+                continue
+            reached = np.array([root])
+            new[0][root] = False
+            while len(reached):
+                there = np.flatnonzero(alike[reached].any(axis=0) & new[1])
+                new[1][there] = False
+                reached = np.flatnonzero(alike[:, there].any(axis=1) & new[0]) if len(there) else there
+                new[0][reached] = False
+                for x in (right[there], left[reached]):
+                    x = x[x != left[root]]
+                    u.extend(docs[x].tolist())
+                    v.extend([docs[left[root]]] * len(x))
+        own = np.flatnonzero(links)
+        del grams, overlap, alike
+        give_back()
+        return pd.DataFrame({"u": np.r_[docs[own], np.array(u, dtype=np.int64)], "v": pd.array([None] * len(own) + v, dtype="Int64"), "links": np.r_[links[own], np.zeros(len(u), np.int64)]})
+
+    return run
+
+
+def _placed(reps: DataFrame) -> DataFrame | None:
+    """(rep, signature, n, copies, place) of the rows in large groups, place the smallest rep of the group; None where there are none. Rows of one
+    signature and different sizes stay out."""
+    twice = reps.groupBy("signature").count().where("count > 1").select("signature")
+    reps = reps.join(twice, "signature", "left_anti")
+    keys = reps.select("rep", F.explode("keys").alias("key"))
+    large = keys.groupBy("key").agg(F.min("rep").alias("v"), F.count("*").alias("rows")).where(F.col("rows") >= LARGE).select("key", "v")
+    edges = settle(keys.join(large, "key").select(F.col("rep").alias("u"), "v").distinct())
+    if edges.isEmpty():
+        return None
+    label = connected(edges).select(F.col("node").alias("rep"), F.col("label").alias("place"))
+    placed = settle(reps.drop("keys").join(label, "rep"))
+    sizes = np.sort(placed.groupBy("place").count().toPandas()["count"].to_numpy())[::-1]
+    within = np.cumsum(sizes) <= MOST_PLACED
+    if within.all():
+        return placed
+    if not within[0]:
+        return None
+    least = int(sizes[len(sizes[within])]) + 1
+    return settle(placed.join(placed.groupBy("place").count().where(F.col("count") >= least).select("place"), "place", "left_semi"))
+
+
 def _compared(docs: DataFrame, n: int, t: float, as_pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(meta, reps, found): meta is (doc_id, signature, n) of every document, n being 0 without words; reps is (signature, n, rep, copies) of the different sets,
     rep the smallest doc_id that has it; found is PAIRS or LINKS over reps."""
@@ -352,8 +499,10 @@ def _compared(docs: DataFrame, n: int, t: float, as_pairs: bool) -> tuple[DataFr
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, size / BYTES_PER_COUNTER)))))
     surveyed = settle(own.mapInPandas(trimmed(_survey(n, bits)), "piece int, data binary"))
-    meta = surveyed.where("piece < 0").mapInPandas(_unpack, "doc_id long, signature long, n int")
-    reps = settle(meta.where("n > 0").groupBy("signature", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    meta = surveyed.where("piece < 0").mapInPandas(_unpack, "doc_id long, signature long, n int, keys array<long>")
+    sets = settle(meta.where("n > 0").groupBy("signature", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")))
+    reps, meta = sets.drop("keys"), meta.drop("keys")
+    placed = _placed(sets)
     counters = surveyed.where("piece >= 0").withColumn("turn", F.spark_partition_id() % 64)
     counters = counters.groupBy("piece", "turn").applyInPandas(_iterated(_added(bits, False)), "piece int, data binary")
     counters = counters.groupBy("piece").applyInPandas(_iterated(_added(bits, True)), "piece int, data binary").collect()
@@ -361,7 +510,13 @@ def _compared(docs: DataFrame, n: int, t: float, as_pairs: bool) -> tuple[DataFr
     total = reps.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, math.ceil(total * (1 - t) / ENTRIES_PER_BLOCK))
     entries = own.mapInPandas(trimmed(_entries(n, t, bits, blocks, order, HOT)), "block long, signatures binary, sizes binary, columns binary, rows binary")
-    product = trimmed(_product(t))
+    if placed is None:
+        places = np.empty(0, dtype=PLACED)
+    else:
+        known = placed.select("signature", "n", "place").toPandas().sort_values("signature")
+        places = np.empty(len(known), dtype=PLACED)
+        places["signature"], places["n"], places["place"] = known["signature"], known["n"], pd.factorize(known["place"])[0]
+    product = trimmed(_product(t, spark.sparkContext.broadcast(places.tobytes())))
 
     def block_product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return product(batches)
@@ -388,12 +543,27 @@ def _compared(docs: DataFrame, n: int, t: float, as_pairs: bool) -> tuple[DataFr
     tasks = candidates.join(place.select(F.col("u").alias("doc_a"), F.col("place").alias("pa")), "doc_a").join(place.select(F.col("u").alias("doc_b"), F.col("place").alias("pb")), "doc_b")
     tasks = settle(tasks.select(F.xxhash64(F.least("pa", "pb"), F.greatest("pa", "pb")).alias("task"), "doc_a", "doc_b"))
     members = tasks.select("task", F.col("doc_a").alias("doc_id")).union(tasks.select("task", F.col("doc_b").alias("doc_id"))).distinct()
-    members = members.join(reps.select(F.col("rep").alias("doc_id"), "copies"), "doc_id")
-    texts = members.join(own, "doc_id").select("task", "doc_id", "copies", "text")
+    where = reps.withColumn("place", F.col("rep"))
+    if placed is not None:
+        where = reps.join(placed.select("rep", "place"), "rep", "left").withColumn("place", F.coalesce("place", "rep"))
+    members = members.join(where.select(F.col("rep").alias("doc_id"), "copies", "place"), "doc_id")
+    texts = members.join(own, "doc_id").select("task", "doc_id", "copies", "place", "text")
     found = tasks.select(F.col("task").alias("own"), "doc_a", "doc_b").groupBy("own").cogroup(texts.groupBy("task")).applyInPandas(_checked(n, t, as_pairs), PAIRS if as_pairs else LINKS)
+    if placed is not None:
+        found = found.unionByName(_within(own, placed, n, t, as_pairs))
     return meta, reps, found
 
 
+def _within(own: DataFrame, placed: DataFrame, n: int, t: float, as_pairs: bool) -> DataFrame:
+    """PAIRS or LINKS of the pairs within places; each pair of tiles gets its texts once."""
+    tiles = placed.groupBy("place").agg(F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum("n") / TILE_GRAMS)).alias("tiles"))
+    rows = placed.join(tiles, "place").withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    rows = rows.select(F.col("rep").alias("doc_id"), "copies", "place", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+    texts = rows.join(own, "doc_id")
+    return texts.groupBy("place", "low", "high").applyInPandas(_tile(n, t, as_pairs), PAIRS if as_pairs else LINKS)
+
+
 def _iterated(run):
     """run with the hints that make Spark hand it a group's batches one after the other."""
 
