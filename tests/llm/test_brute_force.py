@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import cProfile
 import math
 import os
+import pstats
 import random
 import re
 import time
@@ -743,6 +745,24 @@ def test_encoding_is_the_library(spark):
     assert sorted(map(repr, sentencepiece_bpe.decode_documents(odd).collect())) == sorted(map(repr, [Row(doc_id=1, text=None), Row(doc_id=2, text=""), Row(doc_id=None, text="a b")]))
 
 
+def test_units_are_learned_together():
+    """New units cost no Python call each, and come out as by the agenda; many texts are decoded as each alone."""
+    r = random.Random(4)
+    units = sorted({"▁" + "".join(r.choice("aeinrstlédß") for _ in range(r.randrange(3, 14))) for _ in range(20_000)}) + ["▁🙂x", "\u0e01" * 3, "▁" + "ab" * 50]
+    codec = sentencepiece_bpe.Codec(pieces.MODEL)
+    watch = cProfile.Profile()
+    watch.enable()
+    codec.learn(set(units))
+    watch.disable()
+    assert pstats.Stats(watch).total_calls < 2 * len(units)
+    for u in units[::500] + units[-3:]:
+        assert np.frombuffer(codec.known[u], np.int32).tolist() == codec.encode_unit(u)
+    own = [codec.encode(t) for t in texts()] + [[], codec.encode("🙂")[:-1]]
+    ends = [0, *np.cumsum([len(x) for x in own]).tolist()]
+    assert list(codec.decode_all(np.array([i for x in own for i in x], dtype=np.int32), ends)) == [codec.decode(x) for x in own]
+    assert list(codec.decode_all(np.empty(0, np.int32), [0, 0])) == [""]
+
+
 def brute_count(text: str, scores: dict[str, float]) -> int:
     """All pieces at all places; the longest last piece stays among equals."""
     u = pieces.normal(text)

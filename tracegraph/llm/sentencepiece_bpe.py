@@ -29,6 +29,12 @@ NOTHING = -(1 << 40)  #: past the end of a unit
 SCHEMA = "doc_id long, n_tokens int, ids array<int>, library_agrees boolean, round_trip boolean"
 
 
+def plain(data: bytes) -> str:
+    """A text of joined pieces."""
+    whole = data.decode("utf-8", "replace").replace(MARK, " ")
+    return whole[1:] if whole[:1] == " " else whole
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -38,6 +44,7 @@ class Codec:
         self.score = {p.piece: (p.score, i) for i, p in enumerate(proto.pieces) if p.type == p.NORMAL}
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == p.BYTE}
         self.bytes_of = {i: p.piece.encode() for i, p in enumerate(proto.pieces) if p.type == p.NORMAL} | {i: bytes([b]) for b, i in self.byte.items()}
+        self.bytes_by_id = pa.array([self.bytes_of.get(i, b"") for i in range(len(proto.pieces))], pa.large_binary())
         self.known: dict[str, bytes] = {}
         self.width = len(proto.pieces)
         self.char_ids = -2 - np.arange(0x110000, dtype=np.int64)  # a character that is no piece
@@ -92,12 +99,19 @@ class Codec:
 
     def decode(self, ids) -> str:
         """The text of ids: pieces and bytes joined, marks as spaces, without the leading one."""
-        whole = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
-        return whole[1:] if whole[:1] == " " else whole
-
-    def encode_units(self, units: list[str]) -> list[np.ndarray]:
-        """Ids of many units at once: a row of the matrix is a unit's agenda, and each step takes the best entry of every row."""
-        found: list[np.ndarray] = [np.empty(0, np.int32)] * len(units)
+        return plain(b"".join(map(self.bytes_of.__getitem__, ids)))
+
+    def decode_all(self, ids: np.ndarray, ends: list[int]) -> Iterator[str]:
+        """The texts of ids that lie one after the other."""
+        found = self.bytes_by_id.take(pa.array(ids))
+        at = np.frombuffer(found.buffers()[1], dtype=np.int64, count=len(ids) + 1, offset=found.offset * 8)[ends].tolist()
+        data = memoryview(found.buffers()[2] or b"")
+        for a, b in zip(at, at[1:]):
+            yield plain(bytes(data[a:b]))
+
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """Ids of many units at once, as bytes of int32: a row of the matrix is a unit's agenda, and each step takes the best entry of every row."""
+        found = [b""] * len(units)
         size = np.array([len(u) for u in units])
         for lo, hi in ((1, 4), (5, 7), (8, 10), (11, 13), (14, 18), (19, 30), (31, 64)):
             rows = np.flatnonzero((size >= lo) & (size <= hi))
@@ -105,7 +119,7 @@ class Codec:
                 for r, ids in zip(rows.tolist(), self._step_all([units[r] for r in rows.tolist()], size[rows])):
                     found[r] = ids
         for r in np.flatnonzero(size > 64).tolist():
-            found[r] = np.array(self.encode_unit(units[r]), dtype=np.int32)
+            found[r] = np.array(self.encode_unit(units[r]), dtype=np.int32).tobytes()
         return found
 
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +129,7 @@ class Codec:
         hit = (self.merge_keys[at] == key) & (a >= 0) & (b >= 0)
         return np.where(hit, self.merge_scores[at], -np.inf), self.merge_ids[at]
 
-    def _step_all(self, units: list[str], size: np.ndarray) -> list[np.ndarray]:
+    def _step_all(self, units: list[str], size: np.ndarray) -> list[bytes]:
         wide = int(size.max())
         chars = np.zeros((len(units), wide), dtype=np.uint32)
         chars[np.arange(wide) < size[:, None]] = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -145,8 +159,15 @@ class Codec:
                 ok = (k >= 0) & (k < wide - 1)
                 score, piece = self._pairs(symbols[r[ok], k[ok]], symbols[r[ok], k[ok] + 1])
                 agenda[r[ok], k[ok]], into[r[ok], k[ok]] = score, piece
-        length = (out != NOTHING).sum(axis=1)
-        return np.split(out[out != NOTHING], np.cumsum(length)[:-1])
+        inside = out != NOTHING
+        data, ends = out[inside].astype(np.int32).tobytes(), np.cumsum(inside.sum(axis=1)) * 4
+        found = [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        for r in np.flatnonzero((inside & (out < 0)).any(axis=1)).tolist():  # characters that are no piece
+            flat: list[int] = []
+            for i in out[r][inside[r]].tolist():
+                flat.extend([i] if i >= 0 else [self.byte[b] for b in chr(-2 - i).encode("utf-8", "surrogatepass")])
+            found[r] = np.array(flat, dtype=np.int32).tobytes()
+        return found
 
     def learn(self, units: set[str]) -> None:
         """Works out new units."""
@@ -154,13 +175,7 @@ class Codec:
         if len(self.known) + len(new) > MOST:
             self.known = {}
             new = list(units)
-        for unit, ids in zip(new, self.encode_units(new)):
-            if len(ids) and ids.min() < 0:
-                flat: list[int] = []
-                for i in ids.tolist():
-                    flat.extend([i] if i >= 0 else [self.byte[b] for b in chr(-2 - i).encode("utf-8", "surrogatepass")])
-                ids = np.array(flat)
-            self.known[unit] = ids.astype(np.int32).tobytes()
+        self.known.update(zip(new, self.encode_units(new)))
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
@@ -186,16 +201,13 @@ def _arrow(path: str):
                     units.update(own or ())
                 c.learn(units)
                 known = c.known.__getitem__
-                theirs = sp.encode([t or "" for t in texts], num_threads=1)
-                flat, ends, agrees, back = [], [0], [], []
-                for text, own, other in zip(texts, cut, theirs):
-                    data = b"".join(map(known, own or ()))
-                    flat.append(data)
-                    ends.append(ends[-1] + len(data) // 4)
-                    ids = np.frombuffer(data, dtype=np.int32).tolist()
-                    agrees.append(None if text is None else ids == other)
-                    back.append(None if text is None else c.decode(ids) == text)
-                values = pa.array(np.frombuffer(b"".join(flat), dtype=np.int32))
+                theirs = sp.encode([t or "" for t in texts], num_threads=1, out_type="numpy")
+                flat = [b"".join(map(known, own or ())) for own in cut]
+                ends = [0, *np.cumsum([len(data) // 4 for data in flat]).tolist()]
+                ids = np.frombuffer(b"".join(flat), dtype=np.int32)
+                agrees = [None if text is None else data == other.tobytes() for text, data, other in zip(texts, flat, theirs)]
+                back = [None if text is None else decoded == text for text, decoded in zip(texts, c.decode_all(ids, ends))]
+                values = pa.array(ids)
                 none = pa.array([x is None for x in cut])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=none) if len(cut) else pa.array([], pa.list_(pa.int32()))
                 counts = pa.array([None if x is None else n for x, n in zip(cut, np.diff(ends).tolist())], pa.int32())
