@@ -509,6 +509,14 @@ def test_groups_keep_the_smallest(spark):
     assert kept == {k for k, v in first.items() if k == v} and len(kept) < len(rows)
 
 
+def test_stage_keeps_the_smallest_of_places(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LARGE", 2)
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", 5)
+    rows = family(corpus())
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, cases.documents(spark, rows), "").collect()}
+    assert kept == {k for k, v in brute_first(rows).items() if k == v} and len(kept) < len(rows)
+
+
 def test_edited_short_copies_go(spark):
     words = [f"word{k}" for k in range(40)]
     edited = [f"other{k}" if k in (8, 20, 32) else w for k, w in enumerate(words)]
