@@ -435,6 +435,68 @@ def test_pairs_of_places_are_met_once():
         assert sorted(got) == [a * m + b for a, b in combinations(range(m), 2) if size[a] >= 0.5 * size[b] and (place[a] < 0 or place[a] != place[b])]
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.7])
+def test_columns_that_count_for_a_pair(threshold):
+    """Of sets in one order of columns: a pair is met in those columns that count for it, and a similar one in as many as step 3 asks for."""
+    r = np.random.default_rng(7)
+    sets = []
+    for k in range(120):  # parts of 12 larger sets, some columns of others among them
+        whole = np.arange(60) + 60 * (k % 12)
+        sets.append(np.unique(np.r_[r.choice(whole, r.integers(20, 60), replace=False), r.integers(0, 720, r.integers(0, 15))]))
+    sets.sort(key=len)
+    size = np.array([len(x) for x in sets])
+    kept = [x[: ngram_join._prefix(len(x), threshold)] for x in sets]
+    row, at, column = np.repeat(np.arange(120), [len(x) for x in kept]), np.concatenate([np.arange(len(x)) for x in kept]), np.concatenate(kept)
+    order = np.lexsort((row, column))
+    first = np.flatnonzero(np.diff(column[order], prepend=-1))
+    length = np.diff(np.r_[first, len(order)])
+    for early in (at, at * 3 // 4):  # an earlier place than the true one lets more columns count
+        got = Counter()
+        for keys, w in ngram_join._met(row[order], first[length > 1], length[length > 1], size, np.full(120, -1), threshold, early[order]):
+            for k, x in zip(keys.tolist(), w.tolist()):
+                got[divmod(k, 120)] += x
+        similar = fewer = 0
+        for a, b in combinations(range(120), 2):
+            needed = math.ceil(threshold / (1 + threshold) * (size[a] + size[b]) - 1e-6)
+            least = min(ngram_join.FEW, needed - math.ceil(threshold * size[b] - 1e-9) + 1)
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both >= threshold * (size[a] + size[b] - both) - 1e-9:
+                similar += 1
+                assert got[a, b] >= least
+            if size[a] >= threshold * size[b] - 1e-9 and early is at:
+                mine = np.intersect1d(sets[a][: size[a] - needed + least], sets[b][: size[b] - needed + least])
+                assert got[a, b] == len(mine)
+                fewer += len(mine) < len(np.intersect1d(kept[a], kept[b]))
+        assert similar > 20 and (fewer > 20 or early is not at)
+
+
+def test_rows_that_meet_by_chance_are_not_checked(spark):
+    """Texts of common words share a few n-grams with very many others; next to none of these pairs gets to the exact check."""
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(40)]
+    rows = [cases.row(k, " ".join(r.choices(words, range(40, 0, -1), k=r.randrange(60, 240)))) for k in range(600)]
+    rows += [cases.row(600 + k, rows[k][1] + " w1 w2 w3") for k in range(20)]
+    seen = spark.sparkContext.accumulator(0)
+    checked = ngram_join._checked
+
+    def counting(*args):
+        run = checked(*args)
+
+        def inner(pairs, texts):
+            seen.add(len(pairs))
+            return run(pairs, texts)
+
+        return inner
+
+    ngram_join._checked = counting
+    try:
+        found = ngram_join.ngram_jaccard_join(cases.documents(spark, rows)).collect()
+    finally:
+        ngram_join._checked = checked
+    assert {x["doc_id"]: (x["class_id"], x["n_links"]) for x in found} == brute_classes(rows)
+    assert 20 <= seen.value < 100
+
+
 @pytest.mark.parametrize("dense", [0, 1, 4, 10**9])
 def test_tiles_count_overlaps(monkeypatch, dense):
     monkeypatch.setattr(ngram_join, "DENSE", dense)

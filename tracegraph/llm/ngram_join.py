@@ -12,8 +12,10 @@ in blocks of columns:
    its first n - ceil(t·n) + 1: two rows of similarity t or more have one of them in common.
    These entries go, packed, to the block of their column, where the product's counts accumulate; they leave it as
    partial counts whenever PAIRS_AT_ONCE are held. A column of more than HOT rows is cut into tiles of rows, and each pair of tiles is a column of its own.
-3. With counts summed over blocks, a pair is dropped when even the best case for the entries left out,
-   max(ceil(t·n_a), ceil(t·n_b)) - 1, can't reach the overlap t/(1+t)·(n_a+n_b) that its sizes ask for.
+3. A pair of these sizes needs an overlap of o = ceil(t/(1+t)·(n_a+n_b)). Of each row only the first n - o + k columns count for it, k being
+   o - max(ceil(t·n_a), ceil(t·n_b)) + 1 (then they are among those kept) but FEW at most. Beyond them o - k entries can be in common,
+   so with counts summed over blocks a pair of less than k is dropped. Without this, rows that meet by chance, most of all those of
+   about twice the size, would be checked in numbers that grow by the square of the table.
 4. The pairs left are counted over all columns. Rows that belong together are put in blocks
    of about BLOCK_GRAMS entries, and each pair of blocks that holds a pair to check gets its texts once.
 
@@ -56,6 +58,7 @@ LARGE = 100  #: rows that share a key, from which they are placed together
 BANDS, BAND = 8, 3  #: keys of a row, and min-hashes in each
 MOST_PLACED = 2_000_000  #: rows whose places are broadcast (40 MB), those of the largest groups; the others take the general way
 TILE_ROWS, TILE_GRAMS = 2_000, 1_000_000  #: of a place, in a tile
+FEW = 8  #: columns that a pair must at most have in common to be checked; more let fewer pairs through, but of more that meet
 DENSE = 64  #: a column is multiplied densely where at least one in so many pairs of a tile's rows meets in it
 PAIRS_AT_ONCE = 1_000_000  #: of one block of columns held before they are added up or passed on
 
@@ -191,11 +194,14 @@ def _added(bits: int, last: bool):
 
 
 def _entries(n: int, t: float, bits: int, blocks: int, order, hot: int):
-    """Batches of (doc_id, text) to one packed row for each block of columns; sets that the partition has had are passed over."""
+    """Batches of (doc_id, text) to one packed row for each block of columns; sets that the partition has had are passed over. turns: where
+    in its row's order an entry stands, in 256ths of the entries kept."""
 
     def packed(signatures: list[int], sizes: list[int], grams: list[np.ndarray], heat: list[np.ndarray]) -> pd.DataFrame:
         rows = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         column, tiles = np.concatenate(grams), -(-np.concatenate(heat).astype(np.int64) // hot)
+        length = np.array([len(g) for g in grams])
+        turn = ((np.arange(len(rows)) - (np.cumsum(length) - length)[rows]) * 256 // length[rows]).astype(np.uint8)
         own = np.array(signatures, dtype=np.int64)
         at = np.flatnonzero(tiles > 1)
         if len(at):
@@ -206,15 +212,15 @@ def _entries(n: int, t: float, bits: int, blocks: int, order, hot: int):
             with np.errstate(over="ignore"):
                 tiled = mix(column[k] + mix(tile.astype(np.uint64)))
             cold = tiles <= 1
-            rows, column = np.r_[rows[cold], rows[k]], np.r_[column[cold], tiled]
+            rows, column, turn = np.r_[rows[cold], rows[k]], np.r_[column[cold], tiled], np.r_[turn[cold], turn[k]]
         block = (column % np.uint64(blocks)).astype(np.int64)
         at = np.argsort(block, kind="stable")
         found, cuts = np.unique(block[at], return_index=True)
         out = []
         for b, part in zip(found.tolist(), np.split(at, cuts[1:])):
             used, local = np.unique(rows[part], return_inverse=True)
-            out.append((b, own[used].tobytes(), np.array(sizes, dtype=np.int32)[used].tobytes(), (column[part] >> np.uint64(20)).astype(np.uint32).tobytes(), local.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes()))
-        return pd.DataFrame(out, columns=["block", "signatures", "sizes", "columns", "rows"])
+            out.append((b, own[used].tobytes(), np.array(sizes, dtype=np.int32)[used].tobytes(), (column[part] >> np.uint64(20)).astype(np.uint32).tobytes(), local.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), turn[part].tobytes()))
+        return pd.DataFrame(out, columns=["block", "signatures", "sizes", "columns", "rows", "turns"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.frombuffer(order.value, dtype=np.uint32)
@@ -242,48 +248,63 @@ def _entries(n: int, t: float, bits: int, blocks: int, order, hot: int):
     return run
 
 
-def _met(r: np.ndarray, first: np.ndarray, length: np.ndarray, size: np.ndarray, place: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(pair, number of columns) of the rows r[first : first + length] that meet in a column, whose sizes fit and whose places (-1: none) differ; rows are numbered by size."""
+def _early(n_a: np.ndarray, n_b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, t: float) -> np.ndarray:
+    """Whether a column that is at_a-th of a row's n_a and at_b-th of another's n_b, at least as many, counts for this pair (step 3)."""
+    needed = np.ceil(t / (1 + t) * (n_a + n_b) - 1e-6)
+    least = np.clip(needed - np.ceil(t * n_b - 1e-9) + 1, 1, FEW)
+    return (at_a < n_a - needed + least) & (at_b < n_b - needed + least)
+
+
+def _met(r: np.ndarray, first: np.ndarray, length: np.ndarray, size: np.ndarray, place: np.ndarray, t: float, at: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(pair, number of columns) of the rows r[first : first + length] that meet in a column that counts for them, whose sizes fit and whose places (-1: none)
+    differ; rows are numbered by size. at: where in the row's order the column stands, or somewhat before."""
+    at = np.zeros(len(r), dtype=np.int64) if at is None else at
     for m in np.unique(length):
-        lists = r[first[length == m][:, None] + np.arange(m)]
-        lists, weight = np.unique(lists, axis=0, return_counts=True)  # columns with the same rows count together
+        lists = first[length == m][:, None] + np.arange(m)
         if m <= 64:
             i, j = np.triu_indices(m, 1)
             step = max(1, PAIRS_AT_ONCE // 4 // len(i))
-            for at in range(0, len(lists), step):
-                part, w = lists[at : at + step], weight[at : at + step]
-                a, b, w = part[:, i].ravel(), part[:, j].ravel(), np.repeat(w, len(i))
+            for low in range(0, len(lists), step):
+                part = lists[low : low + step]
+                x, y = part[:, i].ravel(), part[:, j].ravel()
+                a, b = r[x], r[y]
                 fits = (size[a] >= t * size[b] - 1e-9) & ((place[a] < 0) | (place[a] != place[b]))
-                yield a[fits] * len(size) + b[fits], w[fits]
+                x, y, a, b = x[fits], y[fits], a[fits], b[fits]
+                fits = _early(size[a], size[b], at[x], at[y], t)
+                yield a[fits] * len(size) + b[fits], np.ones(fits.sum(), dtype=np.int64)
         else:
-            for part, w in zip(lists, weight):
-                own = place[part]
-                reach = np.searchsorted(size[part], size[part] / t + 1e-9, side="right")
-                placed, rows = np.unique(own[own >= 0], return_counts=True)
-                main = placed[rows.argmax()] if len(placed) else -2
+            for part in lists:
+                rows, turn = r[part], at[part]
+                own, n = place[rows], size[rows]
+                reach = np.searchsorted(n, n / t + 1e-9, side="right")
+                placed, many = np.unique(own[own >= 0], return_counts=True)
+                main = placed[many.argmax()] if len(placed) else -2
                 back = np.flatnonzero(own == main)  # these meet the others only
                 for k in np.flatnonzero(own != main).tolist():
                     later = np.arange(k + 1, reach[k])
-                    b = part[later[(own[later] < 0) | (own[later] != own[k])]]
-                    if len(b):
-                        yield part[k] * len(size) + b, np.full(len(b), w)
+                    later = later[(own[later] < 0) | (own[later] != own[k])]
+                    later = later[_early(n[k], n[later], turn[k], turn[later], t)]
+                    if len(later):
+                        yield rows[k] * len(size) + rows[later], np.ones(len(later), dtype=np.int64)
                     a = back[: np.searchsorted(back, k)]
-                    a = part[a[reach[a] > k]]
+                    a = a[reach[a] > k]
+                    a = a[_early(n[a], n[k], turn[a], turn[k], t)]
                     if len(a):
-                        yield a * len(size) + part[k], np.full(len(a), w)
+                        yield rows[a] * len(size) + rows[k], np.ones(len(a), dtype=np.int64)
 
 
 def _product(t: float, places):
     """One block of columns to the pairs of rows of different places with entries in common, with counts, which may come in several parts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signatures, sizes, rows, columns, shift = [], [], [], [], 0
+        signatures, sizes, rows, columns, turns, shift = [], [], [], [], [], 0
         for pdf in batches:
-            for s, z, r, c in zip(pdf["signatures"], pdf["sizes"], pdf["rows"], pdf["columns"]):
+            for s, z, r, c, k in zip(pdf["signatures"], pdf["sizes"], pdf["rows"], pdf["columns"], pdf["turns"]):
                 signatures.append(np.frombuffer(s, np.int64))
                 sizes.append(np.frombuffer(z, np.int32))
                 rows.append(np.frombuffer(r, np.uint16 if len(r) * 2 == len(c) else np.uint32).astype(np.int64) + shift)
                 columns.append(np.frombuffer(c, np.uint32))
+                turns.append(np.frombuffer(k, np.uint8))
                 shift += len(s) // 8
         signature, size = np.concatenate(signatures), np.concatenate(sizes).astype(np.int64)
         # copies are one row; rows are numbered by size, so partners of fitting size follow each other
@@ -293,9 +314,18 @@ def _product(t: float, places):
         number = np.empty(len(order), dtype=np.int64)
         number[order] = np.cumsum(new) - 1
         signature, size = signature[order][new], size[order][new]
-        keys = np.unique((np.concatenate(columns).astype(np.uint64) << np.uint64(32)) | number[np.concatenate(rows)].astype(np.uint64))
-        del signatures, sizes, rows, columns
+        # (column, row, turn) in 64 bits: beyond 16 million rows the turn is cut, which makes it earlier; of a row's entries in one column the first stays
+        bits = min(8, 32 - (len(signature) - 1).bit_length())
+        keys = (np.concatenate(columns).astype(np.uint64) << np.uint64(32)) | (number[np.concatenate(rows)] << bits).astype(np.uint64)
+        keys |= (np.concatenate(turns) >> (8 - bits)).astype(np.uint64)
+        keys.sort()
+        own = keys >> np.uint64(bits)
+        keys = keys[np.r_[True, own[1:] != own[:-1]]]
+        del signatures, sizes, rows, columns, turns, own
         c, r = keys >> np.uint64(32), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        turn, r = (r & ((1 << bits) - 1)) << (8 - bits), r >> bits
+        stands = -(-turn * (size - np.ceil(t * size - 1e-9).astype(np.int64) + 1)[r] // 256)
+        del turn
         first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
         length = np.diff(np.r_[first, len(c)])
         del keys, c
@@ -317,7 +347,7 @@ def _product(t: float, places):
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
-        for k, w in _met(r, first[length > 1], length[length > 1], size, place, t):
+        for k, w in _met(r, first[length > 1], length[length > 1], size, place, t, stands):
             held.append((k, w))
             waiting += len(k)
             if waiting > PAIRS_AT_ONCE:
@@ -509,7 +539,7 @@ def _compared(docs: DataFrame, n: int, t: float, as_pairs: bool) -> tuple[DataFr
     order = spark.sparkContext.broadcast(b"".join(bytes(x["data"]) for x in sorted(counters, key=lambda x: x["piece"])))
     total = reps.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, math.ceil(total * (1 - t) / ENTRIES_PER_BLOCK))
-    entries = own.mapInPandas(trimmed(_entries(n, t, bits, blocks, order, HOT)), "block long, signatures binary, sizes binary, columns binary, rows binary")
+    entries = own.mapInPandas(trimmed(_entries(n, t, bits, blocks, order, HOT)), "block long, signatures binary, sizes binary, columns binary, rows binary, turns binary")
     if placed is None:
         places = np.empty(0, dtype=PLACED)
     else:
@@ -524,7 +554,7 @@ def _compared(docs: DataFrame, n: int, t: float, as_pairs: bool) -> tuple[DataFr
     common = entries.groupBy("block").applyInPandas(block_product, "sig_a int, sig_b int, n_a int, n_b int, common long")
     needed = F.ceil(F.lit(t / (1 + t)) * (F.col("n_a") + F.col("n_b")) - 1e-6)
     rest = F.greatest(F.ceil(t * F.col("n_a") - 1e-9), F.ceil(t * F.col("n_b") - 1e-9)) - 1
-    kept = common.groupBy("sig_a", "n_a", "sig_b", "n_b").agg(F.sum("common").alias("common")).where(F.col("common") + rest >= needed)
+    kept = common.groupBy("sig_a", "n_a", "sig_b", "n_b").agg(F.sum("common").alias("common")).where(F.col("common") >= F.least(F.lit(FEW), needed - rest))
     half = F.shiftright("signature", 32).cast("int")
     left = reps.select(half.alias("sig_a"), F.col("n").alias("n_a"), F.col("rep").alias("x"))
     right = reps.select(half.alias("sig_b"), F.col("n").alias("n_b"), F.col("rep").alias("y"))
