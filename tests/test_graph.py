@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 
@@ -154,3 +156,54 @@ def test_projection(spark):
         project.nodes([])
     text = [r["line"] for r in project.dot(n, e).orderBy("ord").collect()]
     assert text[0] == "digraph g {" and text[-1] == "}" and any("dashed" in x and "t:B" in x for x in text) and len(text) == 6
+
+
+def plain_communities(g, seed):
+    """Every link of a node added up and every gain rounded at each visit."""
+    rng = np.random.default_rng(seed)
+    near, label = [{w: 1.0 for w in own} for own in g.neighbours()], np.arange(g.n)
+    while True:
+        weight = [sum(x.values()) for x in near]
+        m2, home, total, moved_any, moved = sum(weight), list(range(len(near))), list(weight), False, True
+        while moved and m2:
+            moved = False
+            for v in rng.permutation(len(near)).tolist():
+                own = home[v]
+                links = {own: 0.0}
+                for w, x in near[v].items():
+                    if w != v:
+                        links[home[w]] = links.get(home[w], 0.0) + x
+                total[own] -= weight[v]
+                gain = {c: x - weight[v] * total[c] / m2 for c, x in links.items()}
+                best = min(gain, key=lambda c: (-round(gain[c], 12), c != own, c))
+                if best == own or gain[best] <= gain[own] + 1e-12:
+                    best = own
+                total[best] += weight[v]
+                moved, home[v] = moved or best != own, best
+            moved_any = moved_any or moved
+        names, new = np.unique(home, return_inverse=True)
+        label = new[label]
+        if not moved_any or len(names) == len(near):
+            return np.array([np.flatnonzero(label == c).min() for c in label])
+        joined = [{} for _ in names]
+        for v, own in enumerate(near):
+            for w, x in own.items():
+                joined[new[v]][new[w]] = joined[new[v]].get(new[w], 0.0) + x
+        near = joined
+
+
+@pytest.mark.parametrize("kept", [10**6, 40, 0])
+def test_communities_are_those_of_plain_moves(monkeypatch, kept):
+    monkeypatch.setattr(kernels, "KEPT", kept)
+    r = np.random.default_rng(kept)
+    for seed in range(20):
+        g = G(r.integers(0, 40, 120), r.integers(0, 50, 120))
+        assert kernels.communities(g, seed).tolist() == plain_communities(g, seed).tolist()
+
+
+def test_communities_of_a_dense_component_take_seconds():
+    r = np.random.default_rng(5)
+    g = G(r.integers(0, 8000, 240_000), 8000 + r.integers(0, 400, 240_000))
+    began = time.time()
+    assert 1 < len(set(kernels.communities(g).tolist())) < 100
+    assert time.time() - began < 6
