@@ -9,7 +9,7 @@ import pytest
 
 from tracegraph import workloads
 from tracegraph.workloads import base, graphs
-from tracegraph.graph import kernels, project, traverse
+from tracegraph.graph import kernels, project, ranks, traverse
 
 G = kernels.Csr
 
@@ -207,3 +207,25 @@ def test_communities_of_a_dense_component_take_seconds():
     began = time.time()
     assert 1 < len(set(kernels.communities(g).tolist())) < 100
     assert time.time() - began < 6
+
+
+def test_ranks_in_blocks(spark, monkeypatch):
+    """Small blocks and rows give what one gives, and no round brings a table to the driver."""
+    r = np.random.default_rng(3)
+    pairs = sorted({(f"n{a}", f"n{b}") for a, b in zip(r.integers(0, 90, 400), r.integers(20, 120, 400))})
+    nodes = sorted({x for p in pairs for x in p})
+    out = {v: sum(a == v for a, _ in pairs) for v in nodes}
+    rank = {v: 1 / len(nodes) for v in nodes}
+    for _ in range(7):
+        least = (0.15 + 0.85 * sum(rank[v] for v in nodes if not out[v])) / len(nodes)
+        new = dict.fromkeys(nodes, least)
+        for a, b in pairs:
+            new[b] += 0.85 * rank[a] / out[a]
+        rank = new
+    for name, value in {"BLOCK": 30, "EDGES": 25, "LEAST": 5}.items():
+        monkeypatch.setattr(ranks, name, value)
+    e = spark.createDataFrame(pairs + pairs[:9], "src string, dst string")
+    found = traverse.pagerank(e, tolerance=0.0, most=7)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {x["node"]: x["rank"] for x in found.collect()} == pytest.approx(rank, abs=1e-12)
+    assert traverse.pagerank(e.limit(0)).count() == 0
