@@ -9,7 +9,7 @@ import pytest
 
 from tracegraph import workloads
 from tracegraph.workloads import base, graphs
-from tracegraph.graph import kernels, project, ranks, traverse
+from tracegraph.graph import kernels, project, ranks, sparse, traverse
 
 G = kernels.Csr
 
@@ -229,3 +229,67 @@ def test_ranks_in_blocks(spark, monkeypatch):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {x["node"]: x["rank"] for x in found.collect()} == pytest.approx(rank, abs=1e-12)
     assert traverse.pagerank(e.limit(0)).count() == 0
+
+
+def plain_cuts(pairs):
+    """Nodes without which some of what they touched no longer reaches the rest."""
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+
+    def reached(start, without):
+        seen, todo = {start}, [start]
+        while todo:
+            more = near[todo.pop()] - seen - {without}
+            seen |= more
+            todo += more
+        return seen
+
+    return {v for v, own in near.items() if not own <= reached(min(own), v)}
+
+
+def test_thinned_parts_cut_as_the_whole():
+    r = np.random.default_rng(8)
+    for t in range(300):
+        n, m = int(r.integers(2, 25)), int(r.integers(1, 60))
+        a, b = sparse.distinct(n, r.integers(0, n, m), r.integers(0, n, m))
+        expected = plain_cuts(zip(a.tolist(), b.tolist()))
+        assert set(sparse.cuts(n, a, b).tolist()) == expected
+        part = r.integers(0, 3, len(a))
+        thinned = [sparse.thin(n, a[part == k], b[part == k]) for k in range(3)]
+        assert all(len(x) <= 2 * n for x, _ in thinned)
+        a, b = sparse.distinct(n, np.concatenate([x for x, _ in thinned]), np.concatenate([y for _, y in thinned]))
+        assert set(sparse.cuts(n, *sparse.thin(n, a, b)).tolist()) == expected
+
+
+def test_cut_vertices_of_components_over_the_most_edges(spark, monkeypatch):
+    """A component that doesn't fit a worker is thinned, a tree taken apart by its leaves; neither is refused."""
+    r = np.random.default_rng(9)
+    pairs = [(f"a{x}", f"a{y}") for x, y in zip(r.integers(0, 60, 900), r.integers(0, 60, 900))] + [("a1", "x"), ("x", "y"), ("y", "z"), ("z", "x"), ("l", "l")]
+    pairs += [(f"t{k // 3}", f"t{k}") for k in range(1, 200)] + [("t5", "t1"), ("k", "j")]
+    monkeypatch.setattr(kernels, "MOST_EDGES", 100)
+    monkeypatch.setattr(sparse, "CHUNK", 150)
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    found = [x["node"] for x in kernels.articulation_points(e).collect()]
+    assert set(found) == plain_cuts(pairs) and len(found) == len(set(found))
+    with pytest.raises(ValueError, match="fit one worker"):
+        kernels.community_labels(e)
+
+
+def test_loops_bring_no_table_to_the_driver(spark, monkeypatch):
+    plans, settle = [], traverse.settle
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df)
+
+    monkeypatch.setattr(traverse, "settle", seen)
+    e = spark.createDataFrame(EDGES, "src string, dst string")
+    assert traverse.reach(e, e.selectExpr("src AS root")).count() == 36
+    assert {x["component"] for x in traverse.components(e).collect()} == {"a", "p"}
+    traverse.waves(e, e.selectExpr("src AS node"))
+    traverse.core(e)
+    traverse.path_counts(e, 3)
+    assert len(plans) > 20 and not any("Broadcast" in x for x in plans)
