@@ -23,3 +23,24 @@ def test_against_sql(spark, name):
     found, expected = workloads.QUERIES[name](spark, DATA).toPandas(), con.execute(workloads.ORACLE[name]).df()
     assert sorted(found.columns) == sorted(expected.columns)
     assert rows_of(found) == rows_of(expected)
+
+
+def spread_once(spark, query, tmp_path, table, columns):
+    """Partitions in which a query's Python runs over a table of one file, and how often its plan has that Python."""
+    spark.createDataFrame(*columns).coalesce(1).write.parquet(str(tmp_path / f"{table}.parquet"))
+    found = workloads.QUERIES[query](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    return plan.count("ArrowEvalPython"), "RoundRobinPartitioning" in plan
+
+
+@pytest.mark.parametrize("name", ["txt22_version_cites", "txt25_section_owners", "txt37_funnel", "txt23_sections"])
+def test_texts_of_one_file_are_spread_and_read_once(spark, tmp_path, name):
+    import datetime
+
+    orders = [(k, "F" if k % 2 else "O", datetime.datetime(1995, 1 + k % 12, 1 + k % 28)) for k in range(30)], "o_orderkey long, o_orderstatus string, o_orderdate timestamp"
+    part = [(k, k % 51) for k in range(30)], "p_partkey long, p_size int"
+    assert spread_once(spark, name, tmp_path, *(("part", part) if name == "txt23_sections" else ("orders", orders))) == (1, True)
+    con = duckdb.connect()
+    for t in os.listdir(tmp_path):
+        con.execute(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{tmp_path}/{t}/*.parquet')")
+    assert rows_of(workloads.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows_of(con.execute(workloads.ORACLE[name]).df())

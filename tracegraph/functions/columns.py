@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import wraps
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +23,16 @@ def arrow(schema: str):
     return wrap
 
 
+def structs(rows: list[list[dict]], kind: pa.StructType) -> pa.Array:
+    """Lists of records as one Arrow array, column by column; Spark would turn every record of a batch by itself."""
+    flat = [x for own in rows for x in own]
+    ends = [0]
+    for own in rows:
+        ends.append(ends[-1] + len(own))
+    records = pa.StructArray.from_arrays([pa.array([x[f.name] for x in flat], f.type) for f in kind], fields=list(kind))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), records)
+
+
 def first_line(text: Column) -> Column:
     return F.trim(F.regexp_extract(text, r"(?m)^# (.*)$", 1))
 

@@ -182,13 +182,30 @@ def prose(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.select("path", "kind", F.inline("x.refs")), found.select("path", "kind", F.inline("x.cites"))
 
 
+def _marks() -> Column:
+    return F.size(F.regexp_extract_all("body", F.lit(r"(§|\b[A-Z][A-Z\d-]{2,}(?:\.md)?[ \t]+v\d+\.\d+)"), F.lit(1)))
+
+
+STATUSES = ("resolved", "dangling", "unresolvable")
+
+
+def _stages(n: DataFrame) -> DataFrame:
+    stages = [("marks", F.col("marks")), ("in code", F.col("marks") - F.col("cites") - F.col("refs")), ("version cites", F.col("cites")), ("section references", F.col("refs")), *[(s, F.col(s)) for s in STATUSES]]
+    return n.select(F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), c.alias("n")) for s, c in stages])).alias("x")).select("x.*")
+
+
 def reference_funnel(docs: DataFrame, refs: DataFrame, cites: DataFrame) -> DataFrame:
     """(stage, n): all marks in the texts (body), those in code, and of the others the version cites and the section references by status."""
-    marks = F.size(F.regexp_extract_all("body", F.lit(r"(§|\b[A-Z][A-Z\d-]{2,}(?:\.md)?[ \t]+v\d+\.\d+)"), F.lit(1)))
-    n = docs.agg(F.coalesce(F.sum(marks), F.lit(0)).cast("long").alias("marks"))
-    n = n.crossJoin(cites.agg(F.count("*").alias("cites"))).crossJoin(refs.agg(F.count("*").alias("refs"), *[F.count_if(F.col("status") == s).alias(s) for s in ("resolved", "dangling", "unresolvable")]))  # one row each
-    stages = [("marks", F.col("marks")), ("in code", F.col("marks") - F.col("cites") - F.col("refs")), ("version cites", F.col("cites")), ("section references", F.col("refs")), *[(s, F.col(s)) for s in ("resolved", "dangling", "unresolvable")]]
-    return n.select(F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), c.alias("n")) for s, c in stages])).alias("x")).select("x.*")
+    n = docs.agg(F.coalesce(F.sum(_marks()), F.lit(0)).cast("long").alias("marks"))
+    n = n.crossJoin(cites.agg(F.count("*").alias("cites"))).crossJoin(refs.agg(F.count("*").alias("refs"), *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES]))  # one row each
+    return _stages(n)
+
+
+def text_funnel(texts: DataFrame) -> DataFrame:
+    """The same of (body, refs, cites), where each text has its own references and cites: in one pass over the texts."""
+    of = lambda s: F.size(F.filter("refs", lambda r: r["status"] == s)).alias(s)
+    each = texts.select(_marks().alias("marks"), F.size("refs").alias("refs"), F.size("cites").alias("cites"), *map(of, STATUSES))
+    return _stages(each.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in each.columns]))
 
 
 def ledgers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
