@@ -15,10 +15,13 @@ from . import reviews
 
 
 def arrow(schema: str):
-    """An Arrow-batched function of columns, made when it is first applied, as a schema text needs a session."""
+    """An Arrow-batched function of columns, made when it is first applied, as a schema text needs a session.
+
+    It isn't moved or copied by the optimizer, which would run it a second time for a filter on empty lists, before a small table is spread.
+    """
 
     def wrap(f: Callable) -> Callable[..., Column]:
-        return wraps(f)(lambda *cols: F.pandas_udf(f, schema)(*cols))
+        return wraps(f)(lambda *cols: F.pandas_udf(f, schema).asNondeterministic()(*cols))
 
     return wrap
 

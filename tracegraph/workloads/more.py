@@ -216,7 +216,7 @@ def _cells(rows: pd.Series) -> pd.Series:
 @query("txt09_split_cells", "SELECT p_partkey, CAST(3 AS INTEGER) AS cells, p_name || '|' || p_brand AS middle FROM part")
 def split_cells(t: Tables):
     row = F.concat(F.lit("| "), "p_type", F.lit(" | "), "p_name", F.lit("\\|"), "p_brand", F.lit(" | "), F.col("p_size").cast("string"), F.lit(" |"))
-    return t.part.select("p_partkey", _cells(row).alias("c")).select("p_partkey", F.size("c").alias("cells"), F.replace(F.trim(F.get("c", F.lit(1))), F.lit("\\|"), F.lit("|")).alias("middle"))
+    return spread(t.part).select("p_partkey", _cells(row).alias("c")).select("p_partkey", F.size("c").alias("cells"), F.replace(F.trim(F.get("c", F.lit(1))), F.lit("\\|"), F.lit("|")).alias("middle"))
 
 
 @arrow("string")
@@ -226,7 +226,7 @@ def _target(s: pd.Series) -> pd.Series:
 
 @query("txt33_cite_target", "SELECT c_custkey, upper(c_name) AS target FROM customer")
 def cite_target(t: Tables):
-    return t.customer.select("c_custkey", _target(F.concat(F.lit("  "), "c_name", F.lit(".md "))).alias("target"))
+    return spread(t.customer).select("c_custkey", _target(F.concat(F.lit("  "), "c_name", F.lit(".md "))).alias("target"))
 
 
 def _resolved(body, wanted):
@@ -307,7 +307,7 @@ def _parts(bodies: pd.Series) -> pd.DataFrame:
 @query("txt20_sub_artifacts", "SELECT p_partkey, 'AC-001' AS sub_id, 'bc' AS target_kind, 'BC-1.01.' || p_partkey AS target_id, 'postcondition 2' AS clause FROM part UNION ALL SELECT p_partkey, 'EC-002', 'vp', 'VP-' || p_size, '' FROM part")
 def sub_artifacts(t: Tables):
     body = F.concat(F.lit("### AC-001: traces to BC-1.01."), F.col("p_partkey").cast("string"), F.lit(" postcondition 2\n```\n### AC-009: BC-9.09.009\n```\n| EC-002 | checked by VP-"), F.col("p_size").cast("string"), F.lit(" and `VP-999` |\n"))
-    return t.part.select("p_partkey", _parts(body).alias("x")).select("p_partkey", F.inline("x.refs")).select("p_partkey", "sub_id", "target_kind", "target_id", "clause")
+    return spread(t.part).select("p_partkey", _parts(body).alias("x")).select("p_partkey", F.inline("x.refs")).select("p_partkey", "sub_id", "target_kind", "target_id", "clause")
 
 
 @arrow("array<string>")
@@ -319,4 +319,4 @@ def _wrapped(bodies: pd.Series) -> pd.Series:
 def coercion(t: Tables):
     """A list over several lines of frontmatter."""
     body = F.concat(F.lit("---\nitems:\n  - "), "p_brand", F.lit("\n  - \"x, y\"\nnone: []\n---\ntext\n"))
-    return t.part.select("p_partkey", _wrapped(body).alias("i")).select("p_partkey", F.get("i", F.lit(0)).alias("first"), F.size("i").alias("n"))
+    return spread(t.part).select("p_partkey", _wrapped(body).alias("i")).select("p_partkey", F.get("i", F.lit(0)).alias("first"), F.size("i").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns
 from ..operators import integrity
-from .base import Tables, query
+from .base import Tables, query, spread
 
 
 @query("txt04_first_line", "SELECT doc_id, trim(regexp_extract('# ' || text, '^# ([^\\n]*)', 1)) AS title FROM documents")
@@ -35,12 +35,12 @@ def _doc():
 @query("txt07_sections", f"""
 SELECT p_partkey, s.ord, s.heading, s.body FROM part, LATERAL (SELECT unnest([{{'ord': 0, 'heading': '', 'body': 'intro' || chr(10)}}, {{'ord': 1, 'heading': 'One ' || p_brand, 'body': '## One ' || p_brand || chr(10) || p_name || chr(10)}}, {{'ord': 2, 'heading': 'Two', 'body': '### Two' || chr(10) || p_type || chr(10)}}]) AS s)""")
 def sections(t: Tables):
-    return t.part.select("p_partkey", F.inline(columns.sections(_doc()))).select("p_partkey", "ord", "heading", "body")
+    return spread(t.part).select("p_partkey", F.inline(columns.sections(_doc()))).select("p_partkey", "ord", "heading", "body")
 
 
 @query("txt07_lossless", f"SELECT count(*) AS docs, count(*) AS lossless FROM (SELECT {_DOC} FROM part)")
 def lossless(t: Tables):
-    own = t.part.select(_doc().alias("d")).withColumn("s", columns.sections(F.col("d")))
+    own = spread(t.part).select(_doc().alias("d")).withColumn("s", columns.sections(F.col("d")))
     return own.agg(F.count("*").alias("docs"), F.count_if(F.array_join(F.col("s.body"), "") == F.col("d")).alias("lossless"))
 
 
@@ -50,7 +50,7 @@ def _table():
 
 @query("txt08_tables", "SELECT p_partkey, 'Parts' AS heading, CAST(p_partkey AS VARCHAR) AS id, p_name AS title, CAST(p_size AS BIGINT) AS size FROM part")
 def tables(t: Tables):
-    rows = t.part.select("p_partkey", F.inline(columns.tables(_table()))).select("p_partkey", "heading", F.explode("rows.cells").alias("c"))
+    rows = spread(t.part).select("p_partkey", F.inline(columns.tables(_table()))).select("p_partkey", "heading", F.explode("rows.cells").alias("c"))
     return rows.select("p_partkey", "heading", F.get("c", F.lit(0)).alias("id"), columns.normal_cell(F.get("c", F.lit(1))).alias("title"), columns.leading_int(F.get("c", F.lit(2))).alias("size"))
 
 
@@ -75,14 +75,14 @@ def lists(t: Tables):
 @query("txt15_mask", "SELECT p_partkey, p_name || repeat(' ', length(p_brand) + 4) || p_type AS masked FROM part")
 def mask(t: Tables):
     raw = F.concat(F.col("p_name"), F.lit("`"), F.col("p_brand"), F.lit("`  "), F.col("p_type"))
-    return t.part.select("p_partkey", columns.mask_code(raw).alias("masked"))
+    return spread(t.part).select("p_partkey", columns.mask_code(raw).alias("masked"))
 
 
 @query("txt16_findings", "SELECT p_partkey, 'F-' || p_partkey AS finding_id, p_name AS statement, CASE p_size % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' ELSE '' END AS severity, p_size % 2 = 0 AS owned FROM part")
 def findings(t: Tables):
     size = F.col("p_size")
     doc = F.concat(F.when(size % 2 == 0, "# New findings\n").otherwise("# Fix verification\n"), F.lit("### F-"), F.col("p_partkey").cast("string"), F.lit(": "), F.col("p_name"), F.lit("\n"), F.when(size % 3 == 0, "- Severity: high\n").when(size % 3 == 1, "**Severity:** LOW\n").otherwise("text\n"))
-    return t.part.select("p_partkey", F.inline(columns.review_findings(doc))).select("p_partkey", "finding_id", "statement", "severity", "owned")
+    return spread(t.part).select("p_partkey", F.inline(columns.review_findings(doc))).select("p_partkey", "finding_id", "statement", "severity", "owned")
 
 
 @query("txt18_level", "SELECT o_orderkey, CASE CAST(substr(o_orderpriority, 1, 1) AS INTEGER) WHEN 1 THEN 'CRIT' WHEN 2 THEN 'HIGH' WHEN 3 THEN 'MED' WHEN 5 THEN 'LOW' ELSE '' END AS level FROM orders")
@@ -140,7 +140,7 @@ def cell_outcomes(t: Tables):
     k, name = F.col("p_partkey") % 9, F.col("p_name")
     authored = F.when(k == 0, name).when(k == 1, F.upper(name)).when(k == 2, "").when(k == 3, F.substring(name, F.lit(1), F.length(name) - 2)).when(k == 4, F.concat(name, F.lit(" more"))).when(k == 5, F.concat(F.lit("S-1.1: "), name)).when(k == 6, name).otherwise("something else")
     outcome = columns.compare_cell("title")(authored, F.when(k == 6, "").otherwise(name))
-    return t.part.select(outcome.alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+    return spread(t.part).select(outcome.alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @query("txt27_pin_policy", "SELECT source, CASE WHEN source LIKE '%1%' THEN 'pinned' ELSE 'floating' END AS pin, count(*) AS n FROM documents GROUP BY 1")
@@ -166,7 +166,7 @@ def claims(t: Tables):
 @query("txt01_frontmatter", "SELECT p_partkey, p_name AS title, p_brand || ',' || p_type AS tags, true AS tags_listed FROM part")
 def frontmatter(t: Tables):
     doc = F.concat(F.lit("---\ntitle: \""), F.col("p_name"), F.lit("\"  # note\ntags: ["), F.col("p_brand"), F.lit(",\n  '"), F.col("p_type"), F.lit("']\nnone: null\n---\nbody"))
-    own = t.part.select("p_partkey", F.map_from_entries(F.transform(columns.frontmatter(doc), lambda s: F.struct(s["key"], s))).alias("f"))
+    own = spread(t.part).select("p_partkey", F.map_from_entries(F.transform(columns.frontmatter(doc), lambda s: F.struct(s["key"], s))).alias("f"))
     return own.select("p_partkey", F.col("f")["title"]["scalar"].alias("title"), F.array_join(F.col("f")["tags"]["items"], ",").alias("tags"), F.col("f")["tags"]["is_list"].alias("tags_listed"))
 
 
