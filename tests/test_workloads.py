@@ -44,3 +44,20 @@ def test_texts_of_one_file_are_spread_and_read_once(spark, tmp_path, name):
     for t in os.listdir(tmp_path):
         con.execute(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{tmp_path}/{t}/*.parquet')")
     assert rows_of(workloads.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows_of(con.execute(workloads.ORACLE[name]).df())
+
+
+def test_chain_counts_each_once_without_expanding_lines(spark, tmp_path):
+    """Order and customer numbers that occur twice, parts of no kind; no row is made for each count of each line."""
+    tables = {
+        "region": ([(1, "R")], "r_regionkey int, r_name string"), "nation": ([(1, "N", 1), (2, "M", 1)], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": ([(1, 1), (2, 1), (2, 2), (3, 1)], "c_custkey long, c_nationkey int"), "orders": ([(10, 1), (10, 2), (11, 2), (12, 9)], "o_orderkey long, o_custkey long"),
+        "part": ([(1, "a", "B#1"), (2, "b", None), (3, None, "B#2")], "p_partkey long, p_type string, p_brand string"), "supplier": ([(1,), (1,), (2,)], "s_suppkey long"),
+        "lineitem": ([(10, 1, 1, 2.5), (10, 2, 2, 1.0), (11, 3, 1, 4.0), (11, 9, 1, 8.0), (12, 1, 1, 16.0)], "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double"),
+    }
+    con = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    found = workloads.QUERIES["joi09_full_chain"](spark, str(tmp_path))
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(found.toPandas()) == rows_of(con.execute(workloads.ORACLE["joi09_full_chain"]).df())

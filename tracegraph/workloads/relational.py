@@ -96,12 +96,22 @@ SELECT r_name, n_name, count(DISTINCT c_custkey) AS customers, count(DISTINCT o_
 FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey
 JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2""")
 def full_chain(t: Tables):
+    """Lines are added up by order where the join has them together; then customers, and what kinds of parts there are, once each by nation."""
     c = t.customer.join(F.broadcast(t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))), F.col("c_nationkey") == F.col("n_nationkey"))
-    j = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
-    j = j.join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.supplier.select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return j.groupBy("r_name", "n_name").agg(
-        F.count_distinct("c_custkey").alias("customers"), F.count_distinct("o_orderkey").alias("orders"), F.count("*").alias("lines"), F.count_distinct("p_type").alias("types"),
-        F.array_join(F.sort_array(F.collect_set("p_brand")), ",").alias("brands"), F.round(F.sum("l_extendedprice"), 2).alias("price"),
+    owned = t.orders.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey", "r_name", "n_name")
+    lines = t.lineitem.join(t.supplier.select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    by_order = lines.join(owned, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("r_name", "n_name", "o_orderkey").agg(
+        F.count("*").alias("lines"), F.sum("l_extendedprice").alias("price"), F.collect_set("c_custkey").alias("owners"), F.collect_set(F.struct("p_type", "p_brand")).alias("kinds"),
+    )
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda c, kind, n, lines, price: F.struct(c.alias("c_custkey"), kind.alias("kind"), n.alias("orders"), lines.alias("lines"), price.alias("price"))
+    no_kind, nothing = F.struct(none("string").alias("p_type"), none("string").alias("p_brand")), (none("int"), none("long"), none("double"))
+    rows = F.concat(F.array(row(none("long"), no_kind, F.lit(1), F.col("lines"), F.col("price"))), F.transform("owners", lambda c: row(c, no_kind, *nothing)), F.transform("kinds", lambda k: row(none("long"), k, *nothing)))
+    each = by_order.select("r_name", "n_name", F.explode(rows).alias("x")).select("r_name", "n_name", "x.*")
+    once = each.groupBy("r_name", "n_name", "c_custkey", "kind").agg(F.sum("orders").alias("orders"), F.sum("lines").alias("lines"), F.sum("price").alias("price"))
+    return once.groupBy("r_name", "n_name").agg(
+        F.count("c_custkey").alias("customers"), F.sum("orders").alias("orders"), F.sum("lines").alias("lines"), F.size(F.collect_set("kind.p_type")).cast("long").alias("types"),
+        F.array_join(F.sort_array(F.collect_set("kind.p_brand")), ",").alias("brands"), F.round(F.sum("price"), 2).alias("price"),
     )
 
 
