@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared
 from .findings import findings, union
 
 
@@ -82,7 +83,7 @@ def foreign_key_split(rows: DataFrame, key: list[str], parents: list[tuple[str,
 
 def collisions(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """rows with place 1 for the winner of each key, the first by order; others lost to it."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    return shared(rows, *key).withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
