@@ -165,3 +165,35 @@ def test_contract():
     from tracegraph import workloads
 
     assert set(workloads.ORACLE) <= set(workloads.QUERIES) and set(workloads.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_tasks_grow_with_the_tables_that_are_read(spark, tmp_path, monkeypatch):
+    from tracegraph import session
+    from tracegraph.graph import project
+    from tracegraph.operators import integrity
+
+    spark.range(20_000).selectExpr("id AS k", "id % 7 AS part", "uuid() AS x").write.parquet(str(tmp_path / "rows.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "rows.parquet"))
+    monkeypatch.setattr(session, "SHARE", 20_000)
+    pairs = rows.selectExpr("'t' AS src_type", "x AS src_key", "'t' AS dst_type", "string(k) AS dst_key")
+    for found in (integrity.collisions(rows, ["k"], ["part"]), project.difference(rows, rows.where("part > 2"), ["k", "part"]), project.undirected(pairs)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 1  # one shuffle, nothing hashed or sorted before it
+        assert found.rdd.getNumPartitions() > 20
+    assert integrity.first_wins(rows, ["part"], ["k"]).count() == 7
+
+
+def test_difference_and_undirected_with_nulls_and_repeats(spark, same_rows):
+    import pandas as pd
+
+    from tracegraph.graph import project
+
+    a = [(1, "x"), (1, "x"), (2, None), (None, "y"), (3, "z")]
+    b = [(1, "x"), (2, None), (4, None), (4, None), (None, None)]
+    one, two = (spark.createDataFrame(x, "i int, s string") for x in (a, b))
+    sql = "SELECT *, 'added' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)"
+    assert same_rows(project.difference(one, two, ["i", "s"]), sql, {k: pd.DataFrame(x, columns=["i", "s"]) for k, x in {"a": a, "b": b}.items()}) == 4
+    pairs = [("t", "1", "u", "2"), ("u", "2", "t", "1"), ("t", "1", "u", "2"), ("t", "2", "t", "1"), ("t", "3", "t", "3")]
+    columns = ["src_type", "src_key", "dst_type", "dst_key"]
+    sql = "SELECT src_type, src_key, dst_type, dst_key FROM p UNION SELECT dst_type, dst_key, src_type, src_key FROM p"
+    assert same_rows(project.undirected(spark.createDataFrame(pairs, columns)), sql, {"p": pd.DataFrame(pairs, columns=columns)}) == 5
