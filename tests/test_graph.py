@@ -293,3 +293,14 @@ def test_loops_bring_no_table_to_the_driver(spark, monkeypatch):
     traverse.core(e)
     traverse.path_counts(e, 3)
     assert len(plans) > 20 and not any("Broadcast" in x for x in plans)
+
+
+def test_betweenness_of_small_components_in_few_groups(spark, monkeypatch):
+    """Components share a call, whose number of passes is that of the largest one's nodes."""
+    r = np.random.default_rng(11)
+    pairs = [(f"c{k}-{a}", f"c{k}-{b}") for k in range(40) for a, b in zip(r.integers(0, 6, 9), r.integers(0, 6, 9)) if a != b] + [("p", "q"), ("q", "s"), ("v", "v")]
+    expected = plain_betweenness(sorted(set(pairs)))
+    for together in (64, 4):
+        monkeypatch.setattr(kernels, "TOGETHER", together)
+        found = {x["node"]: x["betweenness"] for x in kernels.betweenness_scores(spark.createDataFrame(pairs, "src string, dst string")).collect()}
+        assert set(found) == set(expected) and all(found[v] == pytest.approx(expected[v]) for v in expected)
